@@ -164,8 +164,8 @@ def plan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = DEFAULT,
 
     A fifth of the rows of the first partitions is drawn until `sample_rows` are found,
     so the job stops early and the driver holds at most that many texts."""
-    rows = docs.select(text).sample(0.2, seed).limit(sample_rows).toArrow().column(0)
-    column = pa.concat_arrays(rows.chunks) if rows.num_chunks else pa.array([], pa.string())
+    rows = docs.select(text).sample(0.2, seed).take(sample_rows)  # reads partitions only until it has them
+    column = pa.array([r[0] for r in rows], pa.string())
     by = {name: share / max(cost, 1e-12) for name, cost, share in estimate(strings(column), rules)}
     return tuple(sorted(rules, key=lambda r: -by[r.name]))
 
