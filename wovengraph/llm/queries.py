@@ -7,7 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wovengraph.llm import quality
+from wovengraph.llm import quality, simhash
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
