@@ -28,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wovengraph.llm.common import checkpoint, chunks
+from wovengraph.llm.common import Spans, buffers, checkpoint, chunks, runs
+from wovengraph.llm.lexicon import Lexicon, spread
 from wovengraph.llm.merges import RankMerger
 
 WINDOW, UNIT, DEPTH = 2048, 8, 3
 #: Rows of one ranking cell, about.
 CELL_ROWS = 500_000
-#: Entries and characters a word that a worker's cache of encoded words holds at most.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+#: Text bytes encoded at once.
+ENCODE_BYTES = 4 << 20
 
 
 def _byte_symbols() -> list[str]:
@@ -45,23 +46,30 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 13, 32]] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARKS = b",.;:!?"
+_MARK = np.zeros(256, bool)
+_MARK[list(_MARKS)] = True
+
+
 class Encoder:
-    """Ids of a byte-level word-end BPE tokenizer that drops white space, through a cache of words.
+    """Ids of a byte-level word-end BPE tokenizer that drops white space.
 
     The tokenizer's pre-tokens never hold white space and its normalisation doesn't reach
     across it, so a text's ids are those of its parts between spaces, tabs and line ends.
-    Parts that are Latin letters, up to a mark at the end, are lower-cased and merged here in
-    batches (letters and marks are pre-tokens of their own); all others go to the library."""
-
-    MARKS = ",.;:!?"
+    Parts made of letters up to U+00FF, with or without a mark at the end, are lower-cased
+    and merged here in batches (letters and marks are pre-tokens of their own); all others
+    go to the library.  A worker keeps the ids of parts seen, by 64-bit hash."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._parts: dict[str, bytes] = {"": b""}
-        self._words: dict[str, bytes] = {}
+        self._known = Lexicon()
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocabulary = model["vocab"]
@@ -71,61 +79,73 @@ class Encoder:
         symbols = _byte_symbols()
         self._inner = np.array([vocabulary[c] for c in symbols], np.int64)
         self._last = np.array([vocabulary[c + "</w>"] for c in symbols], np.int64)
-        self._marks = dict(zip(self.MARKS, self._library(list(self.MARKS)), strict=True))
-
-    def _library(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _merged(self, words: list[str]) -> list[bytes]:
-        raw = [w.encode() for w in words]
-        first = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        symbols = self._inner[data]
-        symbols[first[1:] - 1] = self._last[data[first[1:] - 1]]
-        ids, edges = self._merger.merge(symbols, first)
-        flat, edges = ids.astype("<u4").tobytes(), (4 * edges).tolist()
-        return [flat[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts not seen before."""
-        words, other, split = self._words, [], []
-        if len(words) > CACHE_WORDS:
-            words.clear()
-        for p in parts:
-            mark = p[-1] if p[-1] in self.MARKS else ""
-            word = p[: len(p) - len(mark)]
-            if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
-                split.append((p, word.lower(), mark))
-            else:
-                other.append(p)
-        new = list({w for _, w, _ in split if w not in words})
-        fresh = dict(zip(new, self._merged(new), strict=True)) if new else {}
-        words.update(fresh)
-        out = {p: words[w] + (self._marks[m] if m else b"") for p, w, m in split}
-        for at in range(0, len(other), 4096):
-            out.update(zip(other[at : at + 4096], self._library(other[at : at + 4096]), strict=True))
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self._parts
-        if len(known) > CACHE_WORDS:
-            known.clear()
-            known[""] = b""
-        new = set()
-        for parts in cut:
-            new.update(parts)
-        new.difference_update(known.keys())
-        more = self._learn(new)
-        known.update((p, i) for p, i in more.items() if len(p) <= CACHE_CHARS)
-        if all(len(p) <= CACHE_CHARS for p in more):
-            get = known.__getitem__
-            return [b"".join(map(get, parts)) for parts in cut]
-        return [b"".join([more[p] if p in more else known[p] for p in parts]) for parts in cut]
-
-
-encoder = functools.cache(Encoder)
+        self._mark_id = np.zeros(256, np.int64)
+        for b in _MARKS:
+            (self._mark_id[b],) = self._tokenizer.encode(chr(b), add_special_tokens=False).ids
+
+    def _learn(self, data: np.ndarray, low: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, simple: np.ndarray) -> None:
+        """Encode parts not seen before."""
+        s, e = starts[simple], ends[simple]
+        if len(s):
+            first = np.concatenate([[0], np.cumsum(e - s)])
+            flat = low[spread(s, e - s)]
+            symbols = self._inner[flat]
+            symbols[first[1:] - 1] = self._last[flat[first[1:] - 1]]
+            ids, edges = self._merger.merge(symbols, first)
+            self._known.add(keys[simple], np.diff(edges), ids)
+        rest = np.flatnonzero(~simple)
+        if len(rest):
+            raw = data.tobytes()
+            parts = [raw[a:b].decode() for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            found = [e.ids for at in range(0, len(parts), 4096) for e in self._tokenizer.encode_batch_fast(parts[at : at + 4096], add_special_tokens=False)]
+            self._known.add(keys[rest], np.array([len(i) for i in found], np.int64), np.array([x for i in found for x in i], np.int64))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin (and the total).
+        `data` holds the UTF-8 texts, text k from offsets[k] to offsets[k + 1]."""
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        low = data.copy()
+        low[(data >= 65) & (data <= 90)] += 32
+        letter = _ASCII_LETTER[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        follow = data[lead + 1]
+        # U+00C0 to U+00FF without the two signs; of these the first 31 are capitals.
+        good = (follow != 0x97) & (follow != 0xB7)
+        letter[lead[good]] = letter[lead[good] + 1] = True
+        low[lead[good & (follow < 0x9F)] + 1] += 32
+        starts, ends = runs(~_BLANK[data], offsets)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        letters = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(letter, out=letters[1:])
+        inside, length, last = letters[ends] - letters[starts], ends - starts, data[ends - 1]
+        marked = (inside == length - 1) & _MARK[last] & (length > 1)
+        simple = marked | (inside == length)
+        stops = ends - marked
+        keys = np.empty(len(starts), np.uint64)
+        keys[simple] = Spans(low).hash(starts[simple], stops[simple])
+        keys[~simple] = ~Spans(data).hash(starts[~simple], stops[~simple])
+        distinct, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self._known.keys) + len(distinct) > self._known.limit:
+            self._known.clear()
+        new = at[self._known.missing(distinct)]
+        if len(new):
+            self._learn(data, low, keys[new], starts[new], stops[new], simple[new])
+        first, size = (x[which] for x in self._known.find(distinct))
+        total = size + marked
+        begin = np.cumsum(total) - total
+        ids = np.empty(int(total.sum()), np.int32)
+        ids[spread(begin, size)] = self._known.values[spread(first, size)]
+        ids[(begin + size)[marked]] = self._mark_id[last[marked]]
+        edges = np.concatenate([begin, [len(ids)]])[np.searchsorted(starts, offsets)]
+        return ids, edges
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """A worker's encoder, made once."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 1) -> DataFrame:
@@ -134,16 +154,18 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, column in chunks(batches, text):
+        for batch, column in chunks(batches, text, ENCODE_BYTES):
             rows, start, length, crc, total = [], [], [], [], []
-            for k, ids in enumerate(encoder(path).encode(column.to_pylist())):
-                ids += end
-                n = len(ids) // 4
+            ids, edges = encoder(path).encode(*buffers(column))
+            raw, edges = ids.astype("<u4").tobytes(), edges.tolist()
+            for k in range(len(column)):
+                own = raw[4 * edges[k] : 4 * edges[k + 1]] + end
+                n = len(own) // 4
                 for at in range(0, n, window):
                     rows.append(k)
                     start.append(at)
                     length.append(min(window, n - at))
-                    crc.append(zlib.crc32(ids[4 * at : 4 * (at + window)]))
+                    crc.append(zlib.crc32(own[4 * at : 4 * (at + window)]))
                     total.append(n)
             own = batch.column(batch.schema.get_field_index(doc_id)).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([own, *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

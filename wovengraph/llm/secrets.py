@@ -252,7 +252,7 @@ def findings(column: pa.Array, net: Network) -> list[list[tuple[Finding, int]]]:
     starts, ends = starts[long], ends[long]
     edge = np.searchsorted(starts, offsets)
     base = [base_findings(t, [(int(a - offsets[i]), int(b - offsets[i])) for a, b in zip(starts[edge[i] : edge[i + 1]], ends[edge[i] : edge[i + 1]], strict=True)]) for i, t in enumerate(texts)]
-    # Candidates: long runs of token characters, with digits or mixed case.
+    # Candidates: long runs of token characters with letters, and digits or mixed case.
     starts, ends = runs(_TOKEN[data], offsets)
     long = ends - starts >= SHORTEST
     starts, ends = starts[long], ends[long]
@@ -261,7 +261,7 @@ def findings(column: pa.Array, net: Network) -> list[list[tuple[Finding, int]]]:
         for k, kind in enumerate((_DIGIT, _UPPER, _LOWER)):
             np.cumsum(kind[data], out=tell[k, 1:])
         digits, upper, lower = tell[:, ends] - tell[:, starts]
-        shaped = (digits >= 2) | ((upper >= 3) & (lower >= 3))
+        shaped = ((digits >= 2) & (upper + lower >= 2)) | ((upper >= 3) & (lower >= 3))
         starts, ends = starts[shaped], ends[shaped]
     if len(starts):
         text = np.searchsorted(offsets, starts, "right") - 1
