@@ -3,12 +3,14 @@ production parameters, to the whole of its table, and derives the digest columns
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wovengraph.llm import decontamination, packing, quality, secrets, simhash, substrings, tokencount
+from wovengraph.llm import decontamination, packing, quality, secrets, sharding, simhash, substrings, tokencount
+from wovengraph.llm.common import shared_dir
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +42,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=24, folder=f"{shared_dir(spark)}/slot_maps/{uuid.uuid4().hex}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
