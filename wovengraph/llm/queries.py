@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wovengraph.llm import decontamination, packing, quality, secrets, sharding, simhash, substrings, tokencount, toxicity
+from wovengraph.llm import decontamination, packing, quality, secrets, sharding, simhash, substrings, tokencount, toxicity, urls
 from wovengraph.llm.common import shared_dir
 
 
@@ -17,6 +17,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+URL_RULES = (
+    urls.Rule("com", "/en/", "block"),
+    urls.Rule("example.com", "/en/7", "allow"),
+    urls.Rule("net", "/de/", "allow"),
+    urls.Rule("example.net", "/de/8", "block"),
+    urls.Rule("org", "/es/", "block"),
+)
+#: Domains listed for blocking, with their subdomains.
+URL_LIST = tuple(f"{name}.example.{top}" for name in ("adult-x", "casino-win", "cheap-pills", "spam-farm") for top in ("com", "net", "org"))
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES, URL_LIST)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return toxicity.score(docs, toxicity.train(docs, labels))
@@ -88,6 +103,26 @@ FROM b
 """
 
 
+_OP2 = f"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+rules(host, path, verdict) AS (VALUES {', '.join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)}),
+listed(host) AS (VALUES {', '.join(f"('{h}')" for h in URL_LIST)}),
+hosts AS (SELECT DISTINCT p.host FROM p JOIN listed l ON p.host = l.host OR ends_with(p.host, '.' || l.host)),
+fits AS (
+  SELECT p.page_id, p.host, p.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+         arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM (SELECT DISTINCT page_id, host, path FROM p) p
+  JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  GROUP BY p.page_id, p.host, p.path)
+SELECT p.page_id, p.host, p.path, f.rule,
+       coalesce(f.verdict, CASE WHEN h.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM p LEFT JOIN fits f ON f.page_id IS NOT DISTINCT FROM p.page_id AND f.host = p.host AND f.path = p.path
+LEFT JOIN hosts h ON h.host = p.host
+"""
+
 _OP5 = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -132,4 +167,4 @@ FROM w LEFT JOIN kept USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_benchmark_decontamination": _OP5, "op7_quality_rules": _OP7, "op9_substring_dedup": _OP9}
+    return {"op2_url_filters": _OP2, "op5_benchmark_decontamination": _OP5, "op7_quality_rules": _OP7, "op9_substring_dedup": _OP9}
