@@ -145,37 +145,40 @@ def choose(rows: DataFrame, most: int = FEATURES) -> np.ndarray:
     return np.sort(np.array([r.h for r in best], np.int64).view(np.uint64))
 
 
-def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, counterfactual: float = COUNTERFACTUAL, sparsity: float = SPARSITY, steps: int = 1500) -> tuple[np.ndarray, float]:
-    """Weights and offset that minimise the logistic loss, plus `counterfactual` times the mean
-    squared change of the logit over the `swaps` (rows of feature changes), plus the l1 norm."""
-    n, k = x.shape
-    x = np.hstack([x, np.ones((n, 1), np.float32)]).astype(np.float32)
-    scale = x.max(axis=0, initial=1e-9)
-    d = np.hstack([swaps, np.zeros((len(swaps), 1))]).astype(np.float32) if len(swaps) else None
-    v = np.ones(k + 1, np.float32)  # the largest curvature, by power iteration
-
-    def curve(v: np.ndarray) -> np.ndarray:
-        out = x.T @ (x @ v) / (4 * n)
-        return out if d is None else out + 2 * counterfactual * (d.T @ (d @ v)) / len(d)
+def fit(row: np.ndarray, column: np.ndarray, y: np.ndarray, swaps: np.ndarray, times: np.ndarray, counterfactual: float = COUNTERFACTUAL, sparsity: float = SPARSITY, steps: int = 2000, enough: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and offset that minimise the logistic loss over texts with marks `y`, where text
+    row[i] has feature column[i]; plus `counterfactual` times the mean squared change of the
+    logit over the `swaps` (rows of feature changes, each made `times` times); plus the l1 norm."""
+    n, k = len(y), swaps.shape[1]
+    share = times / max(1.0, times.sum())
 
+    def scores(w: np.ndarray) -> np.ndarray:
+        return np.bincount(row, w[column], n) + w[k]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(column, r[row], k), r.sum()) / n
+
+    def pull(w: np.ndarray) -> np.ndarray:
+        return np.append(2 * counterfactual * (swaps.T @ (share * (swaps @ w[:k]))), 0)
+
+    v = np.ones(k + 1)  # the largest curvature, by power iteration
     for _ in range(30):
-        v = curve(v)
+        v = back(scores(v)) / 4 + pull(v)
         v /= np.linalg.norm(v) + 1e-12
-    rate = 1 / (1.05 * float(v @ curve(v)) + 1e-6)
-    w = ahead = np.zeros(k + 1, np.float32)
-    momentum = 1.0
-    shrink = np.append(np.full(k, rate * sparsity), 0).astype(np.float32) * scale
+    rate = 1 / (1.05 * float(v @ (back(scores(v)) / 4 + pull(v))) + 1e-6)
+    w = ahead = np.zeros(k + 1)
+    momentum, shrink = 1.0, np.append(np.full(k, rate * sparsity), 0)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -40, 40)))
-        gradient = x.T @ (p - y) / n
-        if d is not None:
-            gradient = gradient + 2 * counterfactual * (d.T @ (d @ ahead)) / len(d)
-        new = ahead - rate * gradient
+        p = 1 / (1 + np.exp(-np.clip(scores(ahead), -40, 40)))
+        new = ahead - rate * (back(p - y) + pull(ahead))
         new = np.sign(new) * np.maximum(np.abs(new) - shrink, 0)
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         ahead = new + (momentum - 1) / after * (new - w)
+        still = np.abs(new - w).max() <= enough * max(1e-3, np.abs(new).max()) * 0.1
         w, momentum = new, after
-    return w[:-1].astype(float), float(w[-1])
+        if still:
+            break
+    return w[:-1], float(w[-1])
 
 
 def _terms(model: Model, groups: tuple[tuple[str, ...], ...]) -> tuple[np.ndarray, list[tuple[int, ...]]]:
@@ -213,16 +216,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("y")), lists], ["y", "f"])
 
     got = rows.mapInArrow(over, "y int, f array<int>").toArrow()
-    y = got["y"].to_numpy().astype(np.float32)
-    x = np.zeros((len(y), len(chosen)), np.float32)
-    for k, f in enumerate(got["f"].to_pylist()):
-        x[k, f] = 1
+    y = got["y"].to_numpy().astype(float)
+    lists = got["f"].combine_chunks()
+    column = lists.flatten().to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
     # Swap each identity term found for the next of its group, and for a word that names none
     # (else a term that no label mentions could simply take on the weight of the others).
     by_term, sets = _terms(model, groups)
-    at = np.searchsorted(chosen, names)
-    swaps = [to - by_term[t] for ids in sets for i, t in enumerate(ids) for to in (by_term[ids[(i + 1) % len(ids)]], 0) for _ in range(int(x[:, at[t]].sum()))]
-    w, b = fit(x, y, np.array(swaps, np.float32), counterfactual)
+    seen = np.bincount(column, minlength=len(chosen))[np.searchsorted(chosen, names)]
+    pairs = [(to - by_term[t], seen[t]) for ids in sets for i, t in enumerate(ids) for to in (by_term[ids[(i + 1) % len(ids)]], 0) if seen[t]]
+    swaps, times = np.array([d for d, _ in pairs]).reshape(-1, len(chosen)), np.array([m for _, m in pairs], float)
+    w, b = fit(row, column, y, swaps, times, counterfactual)
     return Model(chosen, w, b + correction)
 
 
