@@ -278,7 +278,7 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     for u, n in counts.items():
         histogram[u] = n
     places = plan(histogram, depth).places()
-    salts = int(histogram.sum()) // CELL_ROWS + 4
+    salts = int(histogram.sum()) // CELL_ROWS + 64
     cells = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
     sizes = cells.groupBy("unit", "salt").agg(F.count("*").alias("n"))
     before = sizes.select("unit", "salt", (F.sum("n").over(Window.partitionBy("unit").orderBy("salt")) - F.col("n")).alias("before"))

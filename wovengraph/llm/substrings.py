@@ -130,8 +130,11 @@ def _candidates(docs: DataFrame, doc_id: str, text: str, window: int) -> tuple[D
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *_named(batch, key, rows), pa.array(at.astype(np.int32))], ["h", *key, "at"])
 
     found = keyed.mapInArrow(anchors, f"h long, {_types(keyed, key)}, at int")
-    often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    lists = found.join(often, "h", "left_semi").groupBy(*key).agg(F.collect_set("at").alias("at"))
+    # The second key, which says nothing new, keeps the join from sharing the count's
+    # partitioning, so that Spark can split a passage in a third of all documents.
+    part = (F.col("h") > 0).alias("part")
+    often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", part)
+    lists = found.select("*", part).join(often, ["h", "part"], "left_semi").groupBy(*key).agg(F.collect_set("at").alias("at"))
     return keyed, lists, key, plain
 
 
