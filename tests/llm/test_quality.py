@@ -36,6 +36,8 @@ def texts():
     for _ in range(150):
         words = [rng.choice(["aé", "bb", "ccc", "d#", "*", "eeeeeeeeeeeeeeeeeeeeeeeeee"]) + str(rng.randrange(rng.choice([2, 2000]))) for _ in range(rng.choice([10, 60, 200]))]
         out.append("".join(w + rng.choice([" ", " ", "\n", "  ", "\x0b"]) for w in words))
+    for _ in range(20):  # clean ones
+        out.append("\n".join(" ".join(rng.choice(["aé", "bb", "ccc", "delta"]) + str(rng.randrange(3000)) for _ in range(12)) for _ in range(9)))
     return out
 
 
