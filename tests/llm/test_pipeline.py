@@ -12,7 +12,7 @@ from tests.llm.test_decontamination import slow as slow_leaks
 from tests.llm.test_packing import check
 from tests.llm.test_quality import slow as slow_quality
 from tests.llm.test_secrets import slow as slow_secrets
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_simhash import slow_groups
 from wovengraph.llm import secrets
 
 FOLDER = "/root/testdata/sf0.001"
@@ -35,7 +35,7 @@ def test_stages(spark):
     assert left == {d: r for d, r in rows.items() if slow_quality(r["text"])[-1]} and 0 < len(left) < len(rows)
     before = left
     table, left = after("SimHash near-dedup", table)
-    groups = slow_components({d: slow_fingerprint(r["text"], 5) for d, r in before.items()})
+    groups = slow_groups({d: r["text"] for d, r in before.items()})
     assert left == {d: r for d, r in before.items() if groups[d] == d} and len(left) < len(before)
     before = left
     table, left = after("benchmark decontamination", table)

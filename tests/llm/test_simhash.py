@@ -94,8 +94,95 @@ def test_empty_and_null_ids(spark):
     assert got == [(7, 7), (None, 7), (None, None)]
 
 
+def slow_shingles(text, n=5):
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset([" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or [" ".join(words)])
+
+
+def slow_groups(texts: dict[int, str | None], similarity: float = 0.8) -> dict[int, int]:
+    """The least id of those that chains of similar texts reach, by comparing all pairs."""
+    sets = {d: slow_shingles(t) for d, t in texts.items()}
+    root = {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for i, x in enumerate(ids):
+        for y in ids[:i]:
+            if len(sets[x] & sets[y]) >= similarity * len(sets[x] | sets[y]):
+                a, b = sorted((find(x), find(y)))
+                root[b] = a
+    return {d: find(d) for d in texts}
+
+
+def edited(rng, words, edits, vocabulary):
+    copy = list(words)
+    for at in rng.sample(range(len(copy)), edits):
+        copy[at] = rng.choice(vocabulary)
+    return " ".join(copy)
+
+
 def test_one_of_each_group_stays_with_all_columns(spark):
     rows = [(3, "a b c d e f", "x", 1), (2, "A b c d e f", "y", 2), (2, "A b c d e f", "y", 2), (9, "other words", "z", 3)]
     kept = simhash.deduplicate(spark.createDataFrame(rows, DOCS))
     assert kept.columns == DOCS.names
     assert sorted(map(tuple, kept.collect())) == [(2, "A b c d e f", "y", 2), (9, "other words", "z", 3)]
+    assert simhash.deduplicate(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_similar_texts_go_and_others_stay(spark, monkeypatch):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}é" for i in range(3000)]
+    texts = [None, "", " \t\n", "One", "one", "two WORDS", "two words", "x" * 300_000, "a b c d e f"]
+    for size in (60, 100, 200, 230):
+        for _ in range(12):
+            words = rng.choices(vocabulary, k=size)
+            texts += [" ".join(words)] + [edited(rng, words, rng.choice([0, 1, 1, 2, 8]), vocabulary) for _ in range(3)]
+    family = rng.choices(vocabulary, k=150)
+    texts += [edited(rng, family, rng.choice([1, 2, 3, 4]), vocabulary) for _ in range(90)]
+    rows = [(i, t, "clash", 1) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([*rows, (None, None, "x", 1), (None, "alone without an id", "x", 1)], DOCS)
+    groups = slow_groups(dict(enumerate(texts)))
+    want = sorted(d for d, g in groups.items() if d == g)
+    for hot, block in ((256, 1024), (8, 20)):  # the second: large keys and groups go through blocks
+        monkeypatch.setattr(simhash, "HOT", hot)
+        monkeypatch.setattr(simhash, "BLOCK", 2 * hot)
+        monkeypatch.setattr(simhash, "TEXTS", block)
+        kept = simhash.deduplicate(frame).collect()
+        assert sorted(r.doc_id for r in kept if r.doc_id is not None) == want
+        assert [r.text for r in kept if r.doc_id is None] == ["alone without an id"]
+
+
+def test_sketches_of_long_texts(spark):
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(9000)]
+    words = rng.choices(vocabulary, k=4000)
+    texts = [" ".join(words), edited(rng, words, 20, vocabulary), edited(rng, words, 900, vocabulary), " ".join(words[:2400]), " ".join(rng.choices(vocabulary, k=4000))]
+    kept = simhash.deduplicate(spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], DOCS))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4]
+
+
+def test_fingerprints_at_five_bits_share_a_key():
+    rng = np.random.default_rng(6)
+    fp = rng.integers(-(1 << 63), 1 << 63, 400)
+    other = fp.copy()
+    for k in range(len(fp)):
+        for bit in rng.choice(64, rng.integers(1, 6), replace=False):
+            other[k] ^= np.array(1 << int(bit), np.uint64).view(np.int64)
+
+    def filed(x):
+        import pyarrow as pa
+
+        out = set()
+        for batch in simhash._all_keys(iter([pa.RecordBatch.from_arrays([pa.array(x)], ["fp"])])):
+            out |= set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        return out
+
+    by = [{}, {}]
+    for side, x in enumerate((fp, other)):
+        for key, f in filed(x):
+            by[side].setdefault(f, set()).add(key)
+    assert all(by[0][int(x)] & by[1][int(y)] for x, y in zip(fp, other, strict=True))

@@ -1,24 +1,35 @@
 """Near-duplicates by SimHash, found with Golay-code fuzzy hashing.
 
-Texts become 64-bit fingerprints; fingerprints link at three or fewer differing bits.
-The bits are cut into three segments of 22, 21 and 21, each a shortened 23-bit word.
-Three errors over three segments leave two segments with at most one error each, so for
-one of the three pairs of segments both halves agree up to one bit.  A fingerprint is
-filed under its own pair of codeword indices and asks under its neighbours' pairs too
-(36 at most, and only those not below its own, as the other side asks for the rest).
-
-Only distinct fingerprints take part, so groups of copies cost one row.  A file (one
-pair of indices) with more than HOT fingerprints isn't joined pair by pair: its members
-meet in blocks, and each two blocks give a spanning forest of their links, which keeps
-the components and stays linear in the block.
-
-Rows: null and empty texts have fingerprint zero and link like any other; null ids take
-part and are passed over as component ids unless no other id is there.  Repeated rows each
-get a row.  Texts of any length are taken whole; an empty table gives an empty result."""
+Texts become 64-bit fingerprints, cut into three segments of 22, 21 and 21 bits, each a
+shortened 23-bit word that a Golay code decodes to a codeword index.
+
+`near_duplicates` links fingerprints at three or fewer differing bits.  Three errors over
+three segments leave two segments with at most one error each, so for one of the three pairs
+of segments both halves agree up to one bit.  A fingerprint is filed under its own pair of
+codeword indices and asks under its neighbours' pairs too (36 at most, and only those not
+below its own, as the other side asks for the rest).  Only distinct fingerprints take part,
+so groups of copies cost one row.  A file (one pair of indices) with more than HOT
+fingerprints isn't joined pair by pair: its members meet in blocks, and each two blocks give
+a spanning forest of their links, which keeps the components and stays linear in the block.
+
+`deduplicate` links texts whose word shingles are similar (Jaccard at SIMILARITY or more).
+Edits of that many shingles differ in too many bits of a shingle fingerprint to be found by
+a few keys, so the candidates come from fingerprints of the distinct words, which an edit
+hardly changes.  There both sides are filed under all their neighbours' pairs, so words at
+two differing bits still share a key: any two fingerprints at five or fewer bits meet, and
+most up to WORD_DISTANCE.  Fingerprints that meet form coarse groups; within a coarse group
+(in blocks, if it is large) every two texts are compared by the shingles themselves, and
+only verified links count.  A text's shingles are its SKETCH least shingle hashes: all of
+them for shorter texts, for longer ones an estimate with a standard error of 0.0125.
+
+Rows: null and empty texts have fingerprint zero and link like any other (without words
+they are alike); null ids take part and are passed over as component ids unless no other id
+is there.  Repeated rows each get a row.  Texts of any length are taken whole; an empty table
+gives an empty result."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wovengraph.llm.common import checkpoint, chunks
+from wovengraph.llm.common import NOT_SPACE, Spans, buffers, checkpoint, chunks, runs
 from wovengraph.llm.components import components
 from wovengraph.llm.golay import decoder, keys
+from wovengraph.llm.substrings import window_hashes
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 DISTANCE = 3
@@ -36,6 +48,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 HOT = 256
 BLOCK = 512
+#: Of `deduplicate`: the similarity that counts, shingle hashes kept of a text, bits that word fingerprints may differ in, texts of a block.
+SIMILARITY, SKETCH, WORD_DISTANCE, TEXTS = 0.8, 1024, 8, 1024
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -58,19 +72,18 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * total > len(stops)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, salt: bool = False) -> DataFrame:
-    """(doc_id, fp) for every row, fp as a signed long; with `salt` also `th`, a hash of the text."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """(doc_id, fp) for every row, fp as a signed long."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, column in chunks(batches, text):
             fp = np.array([fingerprint(t, shingle) for t in column.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-            rest = [batch.column(k) for k, name in enumerate(batch.schema.names) if name != text]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(fp)], [*(n for n in batch.schema.names if n != text), "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    picked = [F.col(doc_id).alias("doc_id"), *([F.xxhash64(text).alias("th")] if salt else []), F.col(text).alias("text")]
+    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     text = "text"
-    return docs.select(*picked).mapInArrow(run, f"doc_id {kind}, {'th long, ' * salt}fp long")
+    return picked.mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _pieces(fp: np.ndarray) -> list[np.ndarray]:
@@ -100,8 +113,8 @@ def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array((pair << 24) | both[rows, i, j]), pa.array(fp[rows])], ["key", "fp"])
 
 
-def forest(nodes: np.ndarray) -> tuple[list[int], list[int]]:
-    """Links that join what any two members at DISTANCE or less join, one fewer than members at most."""
+def forest(nodes: np.ndarray, distance: int = DISTANCE) -> tuple[list[int], list[int]]:
+    """Links that join what any two members at `distance` or less join, one fewer than members at most."""
     bits, free, a, b = nodes.view(np.uint64), np.ones(len(nodes), bool), [], []
     for seed in range(len(nodes)):
         if not free[seed]:
@@ -110,7 +123,7 @@ def forest(nodes: np.ndarray) -> tuple[list[int], list[int]]:
         while todo:
             k = todo.pop()
             rest = np.flatnonzero(free)
-            near = rest[np.bitwise_count(bits[rest] ^ bits[k]) <= DISTANCE]
+            near = rest[np.bitwise_count(bits[rest] ^ bits[k]) <= distance]
             free[near] = False
             a += [int(nodes[k])] * len(near)
             b += nodes[near].tolist()
@@ -118,14 +131,23 @@ def forest(nodes: np.ndarray) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _hot_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = [], []
-        for members in batch.column(0):
-            x, y = forest(members.values.to_numpy(zero_copy_only=False).astype(np.int64))
-            a += x
-            b += y
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _met(hot: DataFrame, distance: int) -> DataFrame:
+    """(a, b): a spanning forest of the links within each key of `hot` (key, fp), whose members
+    are dealt into blocks; every two blocks of a key meet once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for members in batch.column(0):
+                x, y = forest(members.values.to_numpy(zero_copy_only=False).astype(np.int64), distance)
+                a += x
+                b += y
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    member = hot.join(blocks, "key").withColumn("x", F.pmod(F.xxhash64("fp"), "n"))
+    meets = member.withColumn("y", F.explode(F.expr("sequence(0, n - 1)"))).select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "fp")
+    return meets.groupBy("key", "i", "j").agg(F.collect_set("fp").alias("members")).select("members").mapInArrow(run, "a long, b long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -137,13 +159,8 @@ def links(distinct: DataFrame) -> DataFrame:
     cold = filed.join(sizes.where(F.col("n") <= HOT), "key").select(F.col("key").alias("k"), F.col("fp").alias("b"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= DISTANCE
     pairs = asks.join(cold, (F.col("k") == F.col("key")) & (F.col("fp") != F.col("b")) & near).select(F.col("fp").alias("a"), "b")
-    # Hot keys: each member goes to one of n blocks, and each block meets each other once.
     hot = asks.join(sizes.where(F.col("n") > HOT).select("key"), "key")
-    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    member = hot.join(blocks, "key").withColumn("x", F.pmod(F.xxhash64("fp"), "n"))
-    meets = member.withColumn("y", F.explode(F.expr("sequence(0, n - 1)"))).select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "fp")
-    meeting = meets.groupBy("key", "i", "j").agg(F.collect_set("fp").alias("members"))
-    return pairs.union(meeting.select("members").mapInArrow(_hot_blocks, "a long, b long")).distinct()
+    return pairs.union(_met(hot, DISTANCE)).distinct()
 
 
 def grouped(fps: DataFrame) -> DataFrame:
@@ -162,13 +179,221 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return grouped(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+class Words:
+    """The words of a chunk of texts, A-Z lower-cased, as hashes."""
+
+    def __init__(self, column: pa.Array) -> None:
+        data, offsets = buffers(column)
+        low = data.copy()
+        low[(data >= 65) & (data <= 90)] += 32
+        starts, ends = runs(NOT_SPACE[low], offsets)
+        self.first = np.searchsorted(starts, offsets)
+        self.n = np.diff(self.first)
+        self.hash = Spans(low).hash(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        self.text = np.repeat(np.arange(len(column)), self.n)
+
+
+def word_fingerprints(words: Words) -> np.ndarray:
+    """A fingerprint of each text's distinct words, as a signed long."""
+    text, h = _distinct(words.text, words.hash)
+    total = np.zeros((len(words.n), 64), np.int64)
+    for at in range(0, len(h), 65536):  # bounded memory for a text of any length
+        own, begin = np.unique(text[at : at + 65536], return_index=True)
+        bits = np.unpackbits(h[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        total[own] += np.add.reduceat(bits, begin, axis=0, dtype=np.int64)
+    over = 2 * total > np.bincount(text, minlength=len(words.n))[:, None]
+    return np.packbits(over, axis=1).view(">u8").reshape(-1).astype(np.uint64).view(np.int64)
+
+
+def sketches(words: Words, shingle: int, size: int = SKETCH) -> pa.Array:
+    """Each text's least distinct hashes of word shingles, as little-endian 32-bit numbers.  A
+    text of fewer words is one shingle, and one without words has none."""
+    n, h, text = len(words.n), words.hash, words.text
+    whole = window_hashes(h, shingle)
+    inside = text[: len(whole)] == text[len(h) - len(whole) :]
+    values, of = [whole[inside]], [text[: len(whole)][inside]]
+    for k in range(1, shingle):
+        short = np.flatnonzero(words.n == k)
+        if len(short):
+            values.append(window_hashes(h, k)[words.first[short]])
+            of.append(short)
+    of, values = _distinct(np.concatenate(of), np.concatenate(values) >> np.uint64(32))
+    edges = np.searchsorted(of, np.arange(n + 1))
+    kept = np.arange(len(of)) - edges[of] < size
+    ends = 4 * np.searchsorted(of[kept], np.arange(n + 1))
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values[kept].astype("<u4").tobytes())])
+
+
+def _distinct(text: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, value) pairs in order."""
+    order = np.lexsort((values, text))
+    text, values = text[order], values[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (values[1:] != values[:-1])
+    return text[new], values[new]
+
+
+def shingled(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
+    """(fp, th, sketch) for every row; th is a hash of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, column in chunks(batches, "text"):
+            words = Words(column)
+            yield pa.RecordBatch.from_arrays([pa.array(word_fingerprints(words)), batch.column(0), sketches(words, shingle)], ["fp", "th", "sketch"])
+
+    return docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(run, "fp long, th long, sketch binary")
+
+
+def worded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, th, fp) for every row."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, column in chunks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(word_fingerprints(Words(column)))], ["doc_id", "th", "fp"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long")
+
+
+def _all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fp): all pairs of keys of each fingerprint's segments and their neighbours."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 4096):
+            fp = whole.column(0).slice(at, 4096).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = [keys(p, width).astype(np.int64) for p, (_, width) in zip(_pieces(fp), SEGMENTS, strict=True)]
+            for pair, (x, y) in enumerate(PAIRS):
+                a, b = found[x][:, :, None], found[y][:, None, :]
+                both = (a << 12) | b
+                rows, i, j = np.nonzero((a >= 0) & (b >= 0))
+                yield pa.RecordBatch.from_arrays([pa.array((pair << 24) | both[rows, i, j]), pa.array(fp[rows])], ["key", "fp"])
+
+
+def _by_key(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, fp) sorted by key become a forest (a, b) of each key's links; members of a
+    key of more than HOT come back as (a, null, key) instead.  HOT rows are held at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held, hot = None, np.zeros(0, np.int64), False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, fp = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            a, b, out_key = [], [], []
+            size = np.diff(np.append(begin, len(key)))
+            # A key alone in the middle of a batch has no links.
+            busy = np.flatnonzero((size > 1) | (np.arange(len(begin)) == 0) | (np.arange(len(begin)) == len(begin) - 1))
+            for g in busy.tolist():
+                members, own = fp[begin[g] : begin[g] + size[g]], int(key[begin[g]])
+                if own != held_key:
+                    x, y = forest(held, distance) if len(held) > 1 and not hot else ([], [])
+                    a += x
+                    b += y
+                    out_key += [None] * len(x)
+                    held_key, held, hot = own, members, False
+                else:
+                    held = np.concatenate([held, members])
+                if hot or len(held) > HOT:
+                    a += held.tolist()
+                    b += [None] * len(held)
+                    out_key += [own] * len(held)
+                    held, hot = np.zeros(0, np.int64), True
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, out_key)], ["a", "b", "key"])
+        if len(held) > 1 and not hot:
+            x, y = forest(held, distance)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.nulls(len(x), pa.int64())], ["a", "b", "key"])
+
+    return run
+
+
+def coarse_links(distinct: DataFrame, distance: int = WORD_DISTANCE) -> DataFrame:
+    """(a, b): links among the distinct fingerprints in column `fp` that connect those that share
+    a key and differ in `distance` bits at most (which takes in all at five bits or fewer)."""
+    filed = distinct.select("fp").mapInArrow(_all_keys, "key long, fp long").repartition("key").sortWithinPartitions("key")
+    found = checkpoint(filed.mapInArrow(_by_key(distance), "a long, b long, key long").distinct())
+    hot = found.where("key is not null").select("key", F.col("a").alias("fp"))
+    return found.where("key is null").select("a", "b").union(_met(hot, distance))
+
+
+def similar_forest(sketches: list[bytes], similarity: float = SIMILARITY, full: int = SKETCH) -> tuple[list[int], list[int]]:
+    """Links (indices) that join what any two texts of that similarity join, one fewer than texts
+    at most.  Sketches shorter than `full` hold all of a text's shingles."""
+    size = np.array([len(s) // 4 for s in sketches], np.int64)
+    flat = np.frombuffer(b"".join(sketches), "<u4")
+    edges = np.concatenate([[0], np.cumsum(size)])
+    own = [flat[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+    last = np.array([int(x[-1]) if len(x) >= full else 1 << 32 for x in own])
+    shared, which = np.unique(flat, return_inverse=True)
+    mark, there = np.zeros(len(shared), bool), np.zeros(len(flat) + 1, np.int32)
+    free, a, b = np.ones(len(size), bool), [], []
+    for seed in range(len(size)):
+        if not free[seed]:
+            continue
+        free[seed], todo = False, [seed]
+        while todo:
+            k = todo.pop()
+            rest = np.flatnonzero(free)
+            if not len(rest):
+                break
+            mine = which[edges[k] : edges[k + 1]]
+            mark[mine] = True
+            np.cumsum(mark[which], out=there[1:])
+            mark[mine] = False
+            both = (there[edges[rest + 1]] - there[edges[rest]]).astype(np.int64)
+            cut = np.minimum(last[rest], last[k])
+            near = both >= similarity * (size[rest] + size[k] - both)
+            # Of longer texts only the hashes up to the lower end of both sketches are known of both.
+            part = cut < 1 << 32
+            near[part] = both[part] >= similarity * full * 0.999
+            for i in np.flatnonzero(near & part):
+                near[i] = _alike(own[k], own[rest[i]], int(cut[i]), similarity)
+            near = rest[near]
+            free[near] = False
+            a += [k] * len(near)
+            b += near.tolist()
+            todo += near.tolist()
+    return a, b
+
+
+def _alike(x: np.ndarray, y: np.ndarray, cut: int, similarity: float) -> bool:
+    x, y = x[: np.searchsorted(x, cut, "right")], y[: np.searchsorted(y, cut, "right")]
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = [], []
+        for members in batch.column(0):
+            text, sketches = members.values.field("th").to_pylist(), members.values.field("sketch").to_pylist()
+            x, y = similar_forest(sketches)
+            a += [text[i] for i in x]
+            b += [text[i] for i in y]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def similar_texts(rows: DataFrame, sketched: DataFrame) -> DataFrame:
+    """(a, b): links among the texts (th) that connect those that share a coarse group and are
+    similar; `rows` has (th, fp) of all texts, `sketched` (fp, th, sketch)."""
+    fps = checkpoint(rows.groupBy("fp").agg((F.min("th") != F.max("th")).alias("several")))
+    coarse = components(coarse_links(fps))
+    group = fps.join(coarse, fps.fp == coarse.node, "left").where("several or root is not null").select("fp", F.coalesce("root", "fp").alias("root"))
+    member = checkpoint(sketched.join(group, "fp").select("root", "th", "sketch").dropDuplicates(["root", "th"]))
+    blocks = member.groupBy("root").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("n"))
+    dealt = member.join(blocks, "root").withColumn("x", F.pmod("th", "n"))
+    meets = dealt.withColumn("y", F.explode(F.expr("sequence(0, n - 1)"))).select("root", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "th", "sketch")
+    meeting = meets.groupBy("root", "i", "j").agg(F.collect_list(F.struct("th", "sketch")).alias("members"))
+    return meeting.select("members").mapInArrow(_verified, "a long, b long")
+
+
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """One row of each group of near-duplicates, all columns: that with the least id (a null
-    id only where no other is), of rows with that id the text with the least hash."""
-    fps = checkpoint(fingerprints(docs, doc_id, text, shingle, salt=True))
+    """One row of each group of similar texts, all columns: that with the least id (a null id
+    only where no other is), of rows with that id the text with the least hash."""
+    rows = checkpoint(worded(docs, doc_id, text))
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th"))
-    found = components(links(fps.select("fp").distinct()))
-    marked = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    found = components(similar_texts(rows, shingled(docs, text, shingle))).withColumnRenamed("node", "th")
+    marked = rows.drop("fp").join(found, "th", "left").withColumn("root", F.coalesce("root", "th"))
     best = marked.groupBy("root").agg(F.min(own).alias("best")).select(F.col("best.id").alias("__id"), F.col("best.th").alias("__th"))
     left = docs.withColumn("__h", F.xxhash64(text))
     kept = left.join(best, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi")
