@@ -11,19 +11,27 @@ from wovengraph.llm.common import checkpoint
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of a link; root is the least node reachable.
 
-    Each round every node takes the least label among its own and its neighbours', then
-    the label of its label (pointer jumping), so the rounds grow with the logarithm of a
-    component's diameter in practice.  Only aggregates with map-side combination and equi
-    joins are used: a node with a third of all links is a skewed join that Spark splits.
-    Self links and repeated links are harmless; links with a null end are left out."""
-    both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
-    edges = checkpoint(both.union(both.select("y", "x")).distinct())
-    labels = checkpoint(edges.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("root")).withColumnRenamed("x", "node"))
-    while True:
-        seen = edges.join(labels, edges.y == labels.node).groupBy("x").agg(F.min("root").alias("near"))
-        hop = labels.join(seen, labels.node == seen.x).select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
-        up = labels.select(F.col("node").alias("mid"), F.col("root").alias("top"))
-        labels = checkpoint(hop.join(up, "mid", "left").select("node", "old", F.least("mid", F.coalesce("top", "mid")).alias("root")))
-        if labels.where("old <> root").isEmpty():
-            return labels.select("node", "root")
-        labels = labels.select("node", "root")
+    Each round every node with a lesser neighbour points to the least one; pointers are followed
+    to their ends (by jumping, so in steps that grow with the logarithm of their length) and
+    the links are rewritten between the ends.  Links within an end are gone, so the rounds get
+    smaller fast, and the largest node of each component goes in each, so they end.
+    Only aggregates with map-side combination and equi joins are used: a node with a third
+    of all links is a skewed join that Spark splits.  Self links and repeated links are
+    harmless; links with a null end are left out."""
+    ends = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
+    edges = checkpoint(ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    labels = edges.select(F.col("x").alias("node")).union(edges.select("y")).distinct().withColumn("root", F.col("node"))
+    edges = edges.where("x < y")
+    while not edges.isEmpty():
+        moves = checkpoint(edges.groupBy(F.col("y").alias("node")).agg(F.min("x").alias("to")))
+        while True:
+            over = moves.select(F.col("node").alias("to"), F.col("to").alias("top"))
+            jumped = checkpoint(moves.join(over, "to", "left").select("node", F.coalesce("top", "to").alias("to"), F.col("top").isNotNull().alias("moved")))
+            moves = jumped.select("node", "to")
+            if jumped.where("moved").isEmpty():
+                break
+        moved = edges.join(moves.select(F.col("node").alias("x"), F.col("to").alias("a")), "x", "left").join(moves.select(F.col("node").alias("y"), F.col("to").alias("b")), "y")
+        moved = moved.select(F.coalesce("a", "x").alias("x"), F.col("b").alias("y")).where("x <> y")
+        edges = checkpoint(moved.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        labels = checkpoint(labels.join(moves.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+    return labels

@@ -29,6 +29,7 @@ gives an empty result."""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -115,13 +116,14 @@ def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def forest(nodes: np.ndarray, distance: int = DISTANCE) -> tuple[list[int], list[int]]:
     """Links that join what any two members at `distance` or less join, one fewer than members at most."""
+    nodes = np.sort(nodes)  # lesser ones first, so that forests of overlapping groups share links
     bits, free, a, b = nodes.view(np.uint64), np.ones(len(nodes), bool), [], []
     for seed in range(len(nodes)):
         if not free[seed]:
             continue
-        free[seed], todo = False, [seed]
+        free[seed], todo = False, deque([seed])
         while todo:
-            k = todo.pop()
+            k = todo.popleft()
             rest = np.flatnonzero(free)
             near = rest[np.bitwise_count(bits[rest] ^ bits[k]) <= distance]
             free[near] = False
