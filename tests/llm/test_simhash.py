@@ -186,3 +186,23 @@ def test_fingerprints_at_five_bits_share_a_key():
         for key, f in filed(x):
             by[side].setdefault(f, set()).add(key)
     assert all(by[0][int(x)] & by[1][int(y)] for x, y in zip(fp, other, strict=True))
+
+
+def test_copies_with_passages_cut_or_added_go(spark, monkeypatch):
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    line = rng.choices(vocabulary, k=30)  # a passage that many texts have
+    texts = []
+    for size in (70, 120, 250, 500):
+        for _ in range(20):
+            words = rng.choices(vocabulary, k=size) + (line if rng.random() < 0.5 else [])
+            size, other, at = len(words), rng.choices(vocabulary, k=len(words)), rng.randrange(len(words))
+            copies = [words, words[: size - size * 18 // 100], words[size * 12 // 100 :], words + other[: size * 20 // 100], words[:at] + other[: size // 10] + words[at:], words[: size * 3 // 4]]
+            texts += [" ".join(c) for c in (words, *rng.sample(copies[1:], 2))]
+    groups = slow_groups(dict(enumerate(texts)))
+    want = sorted(d for d, g in groups.items() if d == g)
+    frame = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], DOCS)
+    for block, common in ((1024, 3), (5, 1 << 30)):  # the second: blocks of few texts, and no shingle known as common
+        monkeypatch.setattr(simhash, "TEXTS", block)
+        monkeypatch.setattr(simhash, "COMMON", common)
+        assert sorted(r.doc_id for r in simhash.deduplicate(frame).collect()) == want

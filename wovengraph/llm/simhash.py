@@ -19,7 +19,15 @@ hardly changes.  There both sides are filed under all their neighbours' pairs, s
 two differing bits still share a key: any two fingerprints at five or fewer bits meet, and
 most up to WORD_DISTANCE.  Fingerprints that meet form coarse groups; within a coarse group
 (in blocks, if it is large) every two texts are compared by the shingles themselves, and
-only verified links count.  A text's shingles are its SKETCH least shingle hashes: all of
+only verified links count.
+
+The keys only come first, as they put large families of copies together cheaply.  What they
+miss is found by an exact prefix filter: of two texts of that similarity, each has a shingle
+in common with the other among the first fifth (`prefix`) of its own shingles in any order
+that is the same for all texts.  Here that is by hash, with shingles that a sample shows to be
+common last.  Texts of one group already needn't meet again; of the others, pairs whose
+prefixes share fewer shingles than that similarity implies are dropped, and the rest compared
+by all their shingle hashes.  A text's shingles are its SKETCH least shingle hashes: all of
 them for shorter texts, for longer ones an estimate with a standard error of 0.0125.
 
 Rows: null and empty texts have fingerprint zero and link like any other (without words
@@ -51,6 +59,8 @@ HOT = 256
 BLOCK = 512
 #: Of `deduplicate`: the similarity that counts, shingle hashes kept of a text, bits that word fingerprints may differ in, texts of a block.
 SIMILARITY, SKETCH, WORD_DISTANCE, TEXTS = 0.8, 1024, 8, 1024
+#: Texts sampled for common shingles, texts of the sample that make one common, most common ones kept; they only change the cost.
+SAMPLE, COMMON, KEPT = 5000, 3, 200_000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -207,10 +217,10 @@ def word_fingerprints(words: Words) -> np.ndarray:
     return np.packbits(over, axis=1).view(">u8").reshape(-1).astype(np.uint64).view(np.int64)
 
 
-def sketches(words: Words, shingle: int, size: int = SKETCH) -> pa.Array:
-    """Each text's least distinct hashes of word shingles, as little-endian 32-bit numbers.  A
-    text of fewer words is one shingle, and one without words has none."""
-    n, h, text = len(words.n), words.hash, words.text
+def shingle_hashes(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of all word shingles, repeats included.  A text of fewer words is one
+    shingle, and one without words has none."""
+    h, text = words.hash, words.text
     whole = window_hashes(h, shingle)
     inside = text[: len(whole)] == text[len(h) - len(whole) :]
     values, of = [whole[inside]], [text[: len(whole)][inside]]
@@ -219,9 +229,17 @@ def sketches(words: Words, shingle: int, size: int = SKETCH) -> pa.Array:
         if len(short):
             values.append(window_hashes(h, k)[words.first[short]])
             of.append(short)
-    of, values = _distinct(np.concatenate(of), np.concatenate(values) >> np.uint64(32))
+    return np.concatenate(of), np.concatenate(values)
+
+
+def sketches(words: Words, shingle: int, size: int | None = SKETCH) -> pa.Array:
+    """Each text's least distinct hashes of word shingles (all without `size`), as little-endian
+    32-bit numbers."""
+    n = len(words.n)
+    of, values = shingle_hashes(words, shingle)
+    of, values = _distinct(of, values >> np.uint64(32))
     edges = np.searchsorted(of, np.arange(n + 1))
-    kept = np.arange(len(of)) - edges[of] < size
+    kept = np.arange(len(of)) - edges[of] < (len(of) if size is None else size)
     ends = 4 * np.searchsorted(of[kept], np.arange(n + 1))
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values[kept].astype("<u4").tobytes())])
 
@@ -235,13 +253,13 @@ def _distinct(text: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return text[new], values[new]
 
 
-def shingled(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
+def shingled(docs: DataFrame, text: str = "text", shingle: int = 5, size: int | None = SKETCH) -> DataFrame:
     """(fp, th, sketch) for every row; th is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, column in chunks(batches, "text"):
             words = Words(column)
-            yield pa.RecordBatch.from_arrays([pa.array(word_fingerprints(words)), batch.column(0), sketches(words, shingle)], ["fp", "th", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(word_fingerprints(words)), batch.column(0), sketches(words, shingle, size)], ["fp", "th", "sketch"])
 
     return docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(run, "fp long, th long, sketch binary")
 
@@ -389,12 +407,138 @@ def similar_texts(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     return meeting.select("members").mapInArrow(_verified, "a long, b long")
 
 
+def _least(n, similarity: float):
+    """The shingles that a text of `n` shares at least with any that is similar."""
+    return np.ceil(similarity * n - 1e-6).astype(np.int64)
+
+
+def prefix(words: Words, shingle: int, common: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, size) of the shingles that texts meet under: the first of each text's in an
+    order with those in `common` (sorted keys) last; size is the number of its shingles."""
+    of, key = shingle_hashes(words, shingle)
+    key = key >> np.uint64(1)
+    if len(common):
+        known = common[np.minimum(np.searchsorted(common, key), len(common) - 1)] == key
+        key |= known.astype(np.uint64) << np.uint64(63)
+    of, key = _distinct(of, key)
+    edges = np.searchsorted(of, np.arange(len(words.n) + 1))
+    size = np.diff(edges)
+    first = np.arange(len(of)) - edges[of] <= (size - _least(size, similarity))[of]
+    return of[first], key[first].view(np.int64), size[of[first]]
+
+
+def common_shingles(docs: DataFrame, rows: int, text: str = "text", shingle: int = 5) -> np.ndarray:
+    """Keys of shingles, sorted, that several of about SAMPLE texts have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, column in chunks(batches, "text"):
+            of, key = shingle_hashes(Words(column), shingle)
+            yield pa.RecordBatch.from_arrays([pa.array(_distinct(of, key >> np.uint64(1))[1].view(np.int64))], ["key"])
+
+    some = docs.where(F.pmod(F.xxhash64(text), F.lit(max(1, rows // SAMPLE))) == 0).select(F.col(text).alias("text"))
+    often = some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(np.array([r.key for r in often.orderBy(F.desc("n"), "key").limit(KEPT).collect()], np.uint64))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, th, n) sorted by key and th, each once, those whose key several texts have."""
+    last, told = [np.zeros(0, np.int64)] * 3, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, th, n = (np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for k, x in enumerate(last))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (th[1:] != th[:-1])
+        key, th, n = key[new], th[new], n[new]
+        kept = np.zeros(len(key), bool)
+        same = key[1:] == key[:-1]
+        kept[1:] |= same
+        kept[:-1] |= same
+        kept[0] |= told
+        last, told = [key[-1:], th[-1:], n[-1:]], bool(kept[-1])
+        kept[-1] = False
+        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (key, th, n)], ["key", "th", "n"])
+    if told:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], ["key", "th", "n"])
+
+
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb): the pairs of members of each row (i, j, members) that are of different
+    groups, of sizes that allow the similarity and, if i and j differ, of different blocks."""
+    for batch in batches:
+        members = batch.column(2)
+        flat, offsets = members.flatten(), members.offsets.to_numpy().astype(np.int64)
+        th, n, root, x = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("th", "n", "root", "x"))
+        many = np.diff(offsets)
+        end, inner = np.repeat(offsets[1:] - offsets[0], many), np.repeat(np.equal(*(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))), many)
+        after = np.cumsum(end - np.arange(len(th)) - 1)
+        at = 0
+        while at < len(th):
+            to = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + (1 << 20), "right")))
+            count = end[at:to] - np.arange(at, to) - 1
+            p = np.repeat(np.arange(at, to), count)
+            q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
+            fit = (root[p] != root[q]) & (inner[p] | (x[p] != x[q])) & (np.minimum(n[p], n[q]) >= SIMILARITY * np.maximum(n[p], n[q]) - 1e-6)
+            p, q = p[fit], q[fit]
+            swap = th[p] > th[q]
+            p, q = np.where(swap, q, p), np.where(swap, p, q)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (th[p], th[q], n[p], n[q])], ["a", "b", "na", "nb"])
+            at = to
+
+
+def candidates(docs: DataFrame, groups: DataFrame, common: np.ndarray, text: str = "text", shingle: int = 5) -> DataFrame:
+    """(a, b): pairs of texts (th), among them all that are similar and not in one of `groups`
+    (th, root) together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, column in chunks(batches, "text"):
+            of, key, n = prefix(Words(column), shingle, common)
+            th = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(th[of]), pa.array(n)], ["key", "th", "n"])
+
+    schema = "key long, th long, n long"
+    filed = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(run, schema)
+    shared = checkpoint(filed.repartition("key").sortWithinPartitions("key", "th").mapInArrow(_shared, schema))
+    known = shared.join(groups, "th", "left").withColumn("root", F.coalesce("root", "th"))
+    mixed = known.groupBy("key").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "k")
+    dealt = known.join(mixed, "key").withColumn("x", F.pmod(F.xxhash64("th"), "k"))
+    meets = dealt.withColumn("y", F.explode(F.expr("sequence(0, k - 1)"))).select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.struct("th", "n", "root", "x").alias("one"))
+    pairs = meets.groupBy("key", "i", "j").agg(F.collect_list("one").alias("members")).select("i", "j", "members").mapInArrow(_crossed, "a long, b long, na long, nb long")
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+    # Of the text whose prefix ends first, all but those that similar texts may lack are in the other's prefix too.
+    both = F.ceil((F.col("na") + F.col("nb")) * F.lit(SIMILARITY / (1 + SIMILARITY)) - 1e-6)
+    one = F.ceil(F.greatest("na", "nb") * F.lit(SIMILARITY) - 1e-6)
+    return counted.where(F.col("n") >= both - one + 1).select("a", "b")
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, x, y) with all shingle hashes of both texts, those that are similar."""
+    for batch in batches:
+        near = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            near.append(both >= SIMILARITY * (len(x) + len(y) - both))
+        yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+
+def missed_links(docs: DataFrame, rows: DataFrame, groups: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
+    """(a, b): all links among similar texts (th) that `groups` (th, root) doesn't hold together."""
+    pairs = checkpoint(candidates(docs, groups, common_shingles(docs, rows.count(), text, shingle), text, shingle))
+    wanted = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
+    whole = checkpoint(shingled(docs, text, shingle, None).select("th", "sketch").join(F.broadcast(wanted), "th", "left_semi").dropDuplicates(["th"]))
+    x, y = whole.select(F.col("th").alias("a"), F.col("sketch").alias("x")), whole.select(F.col("th").alias("b"), F.col("sketch").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
+
+
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """One row of each group of similar texts, all columns: that with the least id (a null id
     only where no other is), of rows with that id the text with the least hash."""
     rows = checkpoint(worded(docs, doc_id, text))
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th"))
-    found = components(similar_texts(rows, shingled(docs, text, shingle))).withColumnRenamed("node", "th")
+    met = components(similar_texts(rows, shingled(docs, text, shingle)))
+    missed = missed_links(docs, rows, met.withColumnRenamed("node", "th"), text, shingle)
+    found = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")).union(missed)).withColumnRenamed("node", "th")
     marked = rows.drop("fp").join(found, "th", "left").withColumn("root", F.coalesce("root", "th"))
     best = marked.groupBy("root").agg(F.min(own).alias("best")).select(F.col("best.id").alias("__id"), F.col("best.th").alias("__th"))
     left = docs.withColumn("__h", F.xxhash64(text))
