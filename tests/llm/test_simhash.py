@@ -206,3 +206,24 @@ def test_copies_with_passages_cut_or_added_go(spark, monkeypatch):
         monkeypatch.setattr(simhash, "TEXTS", block)
         monkeypatch.setattr(simhash, "COMMON", common)
         assert sorted(r.doc_id for r in simhash.deduplicate(frame).collect()) == want
+
+
+def test_long_texts_near_the_similarity_are_compared_whole(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(9000)]
+    texts = []
+    for _ in range(30):
+        words = rng.choices(vocabulary, k=3000)
+        texts += [" ".join(words), " ".join(words[: int(3000 * rng.uniform(0.785, 0.815))])]
+    near = []
+    for k in range(0, len(texts), 2):
+        x, y = slow_shingles(texts[k]), slow_shingles(texts[k + 1])
+        near.append(len(x & y) >= 0.8 * len(x | y))
+    assert 0 < sum(near) < len(near)
+    sketches = simhash.sketches(simhash.Words(pa.array(texts)), 5).to_pylist()
+    assert [simhash.similar_forest(sketches[k : k + 2]) == ([0], [1]) for k in range(0, len(texts), 2)] == near
+    monkeypatch.setattr(simhash, "BYTES", 30_000)  # blocks of a few long texts
+    kept = simhash.deduplicate(spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], DOCS))
+    assert sorted(r.doc_id for r in kept.collect()) == [k for k in range(len(texts)) if k % 2 == 0 or not near[k // 2]]

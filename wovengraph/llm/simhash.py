@@ -27,8 +27,7 @@ in common with the other among the first fifth (`prefix`) of its own shingles in
 that is the same for all texts.  Here that is by hash, with shingles that a sample shows to be
 common last.  Texts of one group already needn't meet again; of the others, pairs whose
 prefixes share fewer shingles than that similarity implies are dropped, and the rest compared
-by all their shingle hashes.  A text's shingles are its SKETCH least shingle hashes: all of
-them for shorter texts, for longer ones an estimate with a standard error of 0.0125.
+by all their shingle hashes (32 bits each, of texts of any length).
 
 Rows: null and empty texts have fingerprint zero and link like any other (without words
 they are alike); null ids take part and are passed over as component ids unless no other id
@@ -57,8 +56,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 HOT = 256
 BLOCK = 512
-#: Of `deduplicate`: the similarity that counts, shingle hashes kept of a text, bits that word fingerprints may differ in, texts of a block.
-SIMILARITY, SKETCH, WORD_DISTANCE, TEXTS = 0.8, 1024, 8, 1024
+#: Of `deduplicate`: the similarity that counts, bits that word fingerprints may differ in, texts of a block and bytes of their shingle hashes.
+SIMILARITY, WORD_DISTANCE, TEXTS, BYTES = 0.8, 8, 1024, 4 << 20
 #: Texts sampled for common shingles, texts of the sample that make one common, most common ones kept; they only change the cost.
 SAMPLE, COMMON, KEPT = 5000, 3, 200_000
 
@@ -232,16 +231,13 @@ def shingle_hashes(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(of), np.concatenate(values)
 
 
-def sketches(words: Words, shingle: int, size: int | None = SKETCH) -> pa.Array:
-    """Each text's least distinct hashes of word shingles (all without `size`), as little-endian
-    32-bit numbers."""
+def sketches(words: Words, shingle: int) -> pa.Array:
+    """Each text's distinct hashes of word shingles, ascending, as little-endian 32-bit numbers."""
     n = len(words.n)
     of, values = shingle_hashes(words, shingle)
     of, values = _distinct(of, values >> np.uint64(32))
-    edges = np.searchsorted(of, np.arange(n + 1))
-    kept = np.arange(len(of)) - edges[of] < (len(of) if size is None else size)
-    ends = 4 * np.searchsorted(of[kept], np.arange(n + 1))
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values[kept].astype("<u4").tobytes())])
+    ends = 4 * np.searchsorted(of, np.arange(n + 1))
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values.astype("<u4").tobytes())])
 
 
 def _distinct(text: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,13 +249,13 @@ def _distinct(text: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return text[new], values[new]
 
 
-def shingled(docs: DataFrame, text: str = "text", shingle: int = 5, size: int | None = SKETCH) -> DataFrame:
+def shingled(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
     """(fp, th, sketch) for every row; th is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, column in chunks(batches, "text"):
             words = Words(column)
-            yield pa.RecordBatch.from_arrays([pa.array(word_fingerprints(words)), batch.column(0), sketches(words, shingle, size)], ["fp", "th", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(word_fingerprints(words)), batch.column(0), sketches(words, shingle)], ["fp", "th", "sketch"])
 
     return docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(run, "fp long, th long, sketch binary")
 
@@ -336,14 +332,12 @@ def coarse_links(distinct: DataFrame, distance: int = WORD_DISTANCE) -> DataFram
     return found.where("key is null").select("a", "b").union(_met(hot, distance))
 
 
-def similar_forest(sketches: list[bytes], similarity: float = SIMILARITY, full: int = SKETCH) -> tuple[list[int], list[int]]:
+def similar_forest(sketches: list[bytes], similarity: float = SIMILARITY) -> tuple[list[int], list[int]]:
     """Links (indices) that join what any two texts of that similarity join, one fewer than texts
-    at most.  Sketches shorter than `full` hold all of a text's shingles."""
+    at most."""
     size = np.array([len(s) // 4 for s in sketches], np.int64)
     flat = np.frombuffer(b"".join(sketches), "<u4")
     edges = np.concatenate([[0], np.cumsum(size)])
-    own = [flat[i:j] for i, j in zip(edges, edges[1:], strict=False)]
-    last = np.array([int(x[-1]) if len(x) >= full else 1 << 32 for x in own])
     shared, which = np.unique(flat, return_inverse=True)
     mark, there = np.zeros(len(shared), bool), np.zeros(len(flat) + 1, np.int32)
     free, a, b = np.ones(len(size), bool), [], []
@@ -361,14 +355,7 @@ def similar_forest(sketches: list[bytes], similarity: float = SIMILARITY, full:
             np.cumsum(mark[which], out=there[1:])
             mark[mine] = False
             both = (there[edges[rest + 1]] - there[edges[rest]]).astype(np.int64)
-            cut = np.minimum(last[rest], last[k])
-            near = both >= similarity * (size[rest] + size[k] - both)
-            # Of longer texts only the hashes up to the lower end of both sketches are known of both.
-            part = cut < 1 << 32
-            near[part] = both[part] >= similarity * full * 0.999
-            for i in np.flatnonzero(near & part):
-                near[i] = _alike(own[k], own[rest[i]], int(cut[i]), similarity)
-            near = rest[near]
+            near = rest[both >= similarity * (size[rest] + size[k] - both)]
             free[near] = False
             a += [k] * len(near)
             b += near.tolist()
@@ -376,12 +363,6 @@ def similar_forest(sketches: list[bytes], similarity: float = SIMILARITY, full:
     return a, b
 
 
-def _alike(x: np.ndarray, y: np.ndarray, cut: int, similarity: float) -> bool:
-    x, y = x[: np.searchsorted(x, cut, "right")], y[: np.searchsorted(y, cut, "right")]
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both >= similarity * (len(x) + len(y) - both)
-
-
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = [], []
@@ -400,7 +381,7 @@ def similar_texts(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     coarse = components(coarse_links(fps))
     group = fps.join(coarse, fps.fp == coarse.node, "left").where("several or root is not null").select("fp", F.coalesce("root", "fp").alias("root"))
     member = checkpoint(sketched.join(group, "fp").select("root", "th", "sketch").dropDuplicates(["root", "th"]))
-    blocks = member.groupBy("root").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("n"))
+    blocks = member.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / TEXTS, F.sum(F.length("sketch")) / BYTES, F.lit(1.0))).cast("int").alias("n"))
     dealt = member.join(blocks, "root").withColumn("x", F.pmod("th", "n"))
     meets = dealt.withColumn("y", F.explode(F.expr("sequence(0, n - 1)"))).select("root", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "th", "sketch")
     meeting = meets.groupBy("root", "i", "j").agg(F.collect_list(F.struct("th", "sketch")).alias("members"))
@@ -526,7 +507,7 @@ def missed_links(docs: DataFrame, rows: DataFrame, groups: DataFrame, text: str
     """(a, b): all links among similar texts (th) that `groups` (th, root) doesn't hold together."""
     pairs = checkpoint(candidates(docs, groups, common_shingles(docs, rows.count(), text, shingle), text, shingle))
     wanted = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
-    whole = checkpoint(shingled(docs, text, shingle, None).select("th", "sketch").join(F.broadcast(wanted), "th", "left_semi").dropDuplicates(["th"]))
+    whole = checkpoint(shingled(docs, text, shingle).select("th", "sketch").join(F.broadcast(wanted), "th", "left_semi").dropDuplicates(["th"]))
     x, y = whole.select(F.col("th").alias("a"), F.col("sketch").alias("x")), whole.select(F.col("th").alias("b"), F.col("sketch").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
 
