@@ -227,3 +227,23 @@ def test_long_texts_near_the_similarity_are_compared_whole(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BYTES", 30_000)  # blocks of a few long texts
     kept = simhash.deduplicate(spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], DOCS))
     assert sorted(r.doc_id for r in kept.collect()) == [k for k in range(len(texts)) if k % 2 == 0 or not near[k // 2]]
+
+
+def test_a_repeated_verification_gives_the_same_links():
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(500)]
+    words = rng.choices(vocabulary, k=200)
+    texts = [edited(rng, words, rng.choice([1, 2, 4, 6]), vocabulary) for _ in range(40)]
+    members = [{"th": rng.getrandbits(62), "sketch": s} for s in simhash.sketches(simhash.Words(pa.array(texts)), 5).to_pylist()]
+    kind = pa.list_(pa.struct([("th", pa.int64()), ("sketch", pa.binary())]))
+
+    def links(order):
+        batch = pa.RecordBatch.from_arrays([pa.array([order], kind)], ["members"])
+        return [r for out in simhash._verified(iter([batch])) for r in out.to_pylist()]
+
+    first = links(members)
+    assert first
+    for _ in range(5):
+        assert links(rng.sample(members, len(members))) == first

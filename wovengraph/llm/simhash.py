@@ -41,6 +41,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -367,7 +368,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = [], []
         for members in batch.column(0):
-            text, sketches = members.values.field("th").to_pylist(), members.values.field("sketch").to_pylist()
+            # In a fixed order, so that a task run again gives the same links.
+            own = members.values.take(pc.sort_indices(members.values.field("th")))
+            text, sketches = own.field("th").to_pylist(), own.field("sketch").to_pylist()
             x, y = similar_forest(sketches)
             a += [text[i] for i in x]
             b += [text[i] for i in y]
