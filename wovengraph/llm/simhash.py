@@ -36,6 +36,8 @@ gives an empty result."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -61,6 +63,20 @@ BLOCK = 512
 SIMILARITY, WORD_DISTANCE, TEXTS, BYTES = 0.8, 8, 1024, 4 << 20
 #: Texts sampled for common shingles, texts of the sample that make one common, most common ones kept; they only change the cost.
 SAMPLE, COMMON, KEPT = 5000, 3, 200_000
+#: Text bytes and pairs that one step holds at once.
+PIECE, PAIRED = 1 << 19, 1 << 17
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which the worker, which later stages use again, gives free memory back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -254,11 +270,11 @@ def shingled(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame
     """(fp, th, sketch) for every row; th is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, column in chunks(batches, "text"):
+        for batch, column in chunks(batches, "text", PIECE):
             words = Words(column)
             yield pa.RecordBatch.from_arrays([pa.array(word_fingerprints(words)), batch.column(0), sketches(words, shingle)], ["fp", "th", "sketch"])
 
-    return docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(run, "fp long, th long, sketch binary")
+    return docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(released(run), "fp long, th long, sketch binary")
 
 
 def worded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,11 +282,11 @@ def worded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, column in chunks(batches, "text"):
+        for batch, column in chunks(batches, "text", PIECE):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(word_fingerprints(Words(column)))], ["doc_id", "th", "fp"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, th long, fp long")
 
 
 def _all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +344,7 @@ def coarse_links(distinct: DataFrame, distance: int = WORD_DISTANCE) -> DataFram
     """(a, b): links among the distinct fingerprints in column `fp` that connect those that share
     a key and differ in `distance` bits at most (which takes in all at five bits or fewer)."""
     filed = distinct.select("fp").mapInArrow(_all_keys, "key long, fp long").repartition("key").sortWithinPartitions("key")
-    found = checkpoint(filed.mapInArrow(_by_key(distance), "a long, b long, key long").distinct())
+    found = checkpoint(filed.mapInArrow(released(_by_key(distance)), "a long, b long, key long").distinct())
     hot = found.where("key is not null").select("key", F.col("a").alias("fp"))
     return found.where("key is null").select("a", "b").union(_met(hot, distance))
 
@@ -388,7 +404,7 @@ def similar_texts(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     dealt = member.join(blocks, "root").withColumn("x", F.pmod("th", "n"))
     meets = dealt.withColumn("y", F.explode(F.expr("sequence(0, n - 1)"))).select("root", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "th", "sketch")
     meeting = meets.groupBy("root", "i", "j").agg(F.collect_list(F.struct("th", "sketch")).alias("members"))
-    return meeting.select("members").mapInArrow(_verified, "a long, b long")
+    return meeting.select("members").mapInArrow(released(_verified), "a long, b long")
 
 
 def _least(n, similarity: float):
@@ -415,12 +431,12 @@ def common_shingles(docs: DataFrame, rows: int, text: str = "text", shingle: int
     """Keys of shingles, sorted, that several of about SAMPLE texts have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, column in chunks(batches, "text"):
+        for _, column in chunks(batches, "text", PIECE):
             of, key = shingle_hashes(Words(column), shingle)
             yield pa.RecordBatch.from_arrays([pa.array(_distinct(of, key >> np.uint64(1))[1].view(np.int64))], ["key"])
 
     some = docs.where(F.pmod(F.xxhash64(text), F.lit(max(1, rows // SAMPLE))) == 0).select(F.col(text).alias("text"))
-    often = some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    often = some.mapInArrow(released(run), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     return np.sort(np.array([r.key for r in often.orderBy(F.desc("n"), "key").limit(KEPT).collect()], np.uint64))
 
 
@@ -458,7 +474,7 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         after = np.cumsum(end - np.arange(len(th)) - 1)
         at = 0
         while at < len(th):
-            to = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + (1 << 20), "right")))
+            to = max(at + 1, int(np.searchsorted(after, (after[at - 1] if at else 0) + PAIRED, "right")))
             count = end[at:to] - np.arange(at, to) - 1
             p = np.repeat(np.arange(at, to), count)
             q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
@@ -475,19 +491,19 @@ def candidates(docs: DataFrame, groups: DataFrame, common: np.ndarray, text: str
     (th, root) together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, column in chunks(batches, "text"):
+        for batch, column in chunks(batches, "text", PIECE):
             of, key, n = prefix(Words(column), shingle, common)
             th = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(th[of]), pa.array(n)], ["key", "th", "n"])
 
     schema = "key long, th long, n long"
-    filed = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(run, schema)
-    shared = checkpoint(filed.repartition("key").sortWithinPartitions("key", "th").mapInArrow(_shared, schema))
+    filed = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(released(run), schema)
+    shared = checkpoint(filed.repartition("key").sortWithinPartitions("key", "th").mapInArrow(released(_shared), schema))
     known = shared.join(groups, "th", "left").withColumn("root", F.coalesce("root", "th"))
     mixed = known.groupBy("key").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "k")
     dealt = known.join(mixed, "key").withColumn("x", F.pmod(F.xxhash64("th"), "k"))
     meets = dealt.withColumn("y", F.explode(F.expr("sequence(0, k - 1)"))).select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.struct("th", "n", "root", "x").alias("one"))
-    pairs = meets.groupBy("key", "i", "j").agg(F.collect_list("one").alias("members")).select("i", "j", "members").mapInArrow(_crossed, "a long, b long, na long, nb long")
+    pairs = meets.groupBy("key", "i", "j").agg(F.collect_list("one").alias("members")).select("i", "j", "members").mapInArrow(released(_crossed), "a long, b long, na long, nb long")
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("na").alias("na"), F.min("nb").alias("nb"))
     # Of the text whose prefix ends first, all but those that similar texts may lack are in the other's prefix too.
     both = F.ceil((F.col("na") + F.col("nb")) * F.lit(SIMILARITY / (1 + SIMILARITY)) - 1e-6)
@@ -512,7 +528,7 @@ def missed_links(docs: DataFrame, rows: DataFrame, groups: DataFrame, text: str
     wanted = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
     whole = checkpoint(shingled(docs, text, shingle).select("th", "sketch").join(F.broadcast(wanted), "th", "left_semi").dropDuplicates(["th"]))
     x, y = whole.select(F.col("th").alias("a"), F.col("sketch").alias("x")), whole.select(F.col("th").alias("b"), F.col("sketch").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(released(_similar), "a long, b long")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
