@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wovengraph.llm import urls
-from wovengraph.llm.queries import URL_RULES
+from wovengraph.llm.queries import URL_LIST, URL_RULES
 
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("host", T.StringType())])
 
@@ -60,3 +60,9 @@ def test_empty_table_and_list(spark):
     empty = spark.createDataFrame([], PAGES)
     assert urls.judge(empty, URL_RULES, ["bad.test"]).count() == 0
     assert {r.verdict for r in urls.judge(spark.createDataFrame([(1, "http://bad.test", "")], PAGES), [], []).collect()} == {"allow"}
+
+
+def test_every_junk_name_of_the_pages_is_listed(spark):
+    hosts = ["free-bets.example.com", "m.ads-track.example.com", "www.spam-farm.example.org", "m.adult-x.example.net", "casino-win.example.com", "cheap-pills.example.com"]
+    frame = spark.createDataFrame([(i, f"https://{h}/x/1", "") for i, h in enumerate([*hosts, "fine.example.com"])], PAGES)
+    assert [r.verdict for r in urls.judge(frame, URL_RULES, URL_LIST).orderBy("page_id").collect()] == ["block"] * len(hosts) + ["allow"]

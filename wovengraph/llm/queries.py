@@ -25,7 +25,7 @@ URL_RULES = (
     urls.Rule("org", "/es/", "block"),
 )
 #: Domains listed for blocking, with their subdomains.
-URL_LIST = tuple(f"{name}.example.{top}" for name in ("adult-x", "casino-win", "cheap-pills", "spam-farm") for top in ("com", "net", "org"))
+URL_LIST = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
