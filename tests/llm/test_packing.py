@@ -11,13 +11,14 @@ import pytest
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from tests.llm.test_quality import swapped
 from wovengraph.llm import packing
 from wovengraph.llm.common import buffers
 from wovengraph.llm.merges import RankMerger
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("length", T.StringType())])
-ODD = ["<|endoftext|> a", "x<|startoftext|>y", "é ́a", "A　B\xa0c", "don't I'LL", "İı ΑΣ ΟΔΟΣ", "\x1c\x1fa\x85b c", "", "  ", "日本語テキスト", "😀👍🏽 x", "a\x00b", "ﬁ ①", "ÀÉß÷ ×a Ñandú, œuvre. Ÿ!", "é", "É", "a,b c,, ?", "x" * 3000 + " " + "ab" * 400]
+ODD = ["<|endoftext|> a", "x<|startoftext|>y", "é ́a", "A　B\xa0c", "don't I'LL", "İı ΑΣ ΟΔΟΣ", "\x1c\x1fa\x85b c", "", "  ", "日本語テキスト", "😀👍🏽 x", "a\x00b", "ﬁ ①", "ÀÉß÷ ×a Ñandú, œuvre. Ÿ!", "é", "É", "a,b c,, ?", "x" * 3000 + " " + "ab" * 400, *(" ".join(swapped(1 << k)) for k in (10, 11, 12, 13))]
 
 
 @pytest.fixture(scope="module")

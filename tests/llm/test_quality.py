@@ -26,7 +26,10 @@ def slow(text):
             seen.add(line)
     n, chars, symbols = len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text))
     failed = n < 50 or 100 * repeated > 50 * n
+    used = [x for x in lines if re.search("[^\x20\x09-\x0d]", x)]
+    lettered = sum(any(c.isascii() and c.isalpha() or ord(c) > 127 for c in w) for w in words)
     kept = not (failed or 10 * symbols > n or chars < 2 * n or chars > 20 * n or 10 * dups > 3 * len(lines))
+    kept = kept and not (10 * lettered < 7 * n or 10 * sum(x[0] in "-*" for x in used) > 9 * len(used) or 10 * sum(x.endswith("...") for x in used) > 3 * len(used))
     return n, chars, symbols, dups, repeated, failed, kept
 
 
@@ -38,7 +41,17 @@ def texts():
         out.append("".join(w + rng.choice([" ", " ", "\n", "  ", "\x0b"]) for w in words))
     for _ in range(20):  # clean ones
         out.append("\n".join(" ".join(rng.choice(["aé", "bb", "ccc", "delta"]) + str(rng.randrange(3000)) for _ in range(12)) for _ in range(9)))
-    return out
+    clean = out[-1].split("\n")
+    out += ["\n".join(f"- {x}" for x in clean), "\n".join(["* x", *(f"*{x}" for x in clean[:-1])]), "\n".join(x + "..." for x in clean), "\n".join(x + ".." for x in clean)]
+    out += [" ".join(str(rng.randrange(10**6)) for _ in range(90)) + " aa bb"]
+    pairs = [swapped(1 << k) for k in (10, 11, 12, 13)]  # words that some polynomial hashes can't tell apart
+    return out + [" ".join(f"{x} p q {y} p q" for x, y in pairs), "\n".join(x for p in pairs for x in p)]
+
+
+def swapped(n):
+    """Two words of n letters, the Thue-Morse word and the one with both letters exchanged."""
+    word = "".join("ai"[k.bit_count() & 1] for k in range(n))
+    return word, word.translate(str.maketrans("ai", "ia"))
 
 
 def test_measures_and_verdicts(spark):
@@ -69,6 +82,8 @@ def test_later_rules_see_only_what_is_left(spark):
     rules = (watching("first", 0.75), watching("second", 0.2))
     assert (quality.verdicts(column, rules) >= 0).sum() == 80
     assert seen == [("first", 100), ("second", 25)]
+    seen.clear()  # the form that judges some rows alone
+    assert quality.verdicts(column, rules, np.arange(50, 100))[:50].max() == -1 and seen == [("first", 50), ("second", 12)]
     # Of two rules that reject alike the cheaper comes first, whatever the order given.
     import time
 
@@ -78,6 +93,18 @@ def test_later_rules_see_only_what_is_left(spark):
     assert [r.name for r in quality.plan(frame, rules=(dear, cheap))] == ["cheap", "dear"]
 
 
+def test_the_sample_is_drawn_from_all_partitions(spark):
+    rows = [(i, "few words" if i < 3000 else " ".join(f"w{k}" for k in range(60)) + " $" * 20, "") for i in range(6000)]
+    frame = spark.createDataFrame(rows, DOCS).coalesce(4).sortWithinPartitions("doc_id")
+    import pyspark.sql.functions as F
+
+    first = quality.Rule("first half", lambda t: np.array(t.n_words < 50))
+    last = quality.Rule("last half", lambda t: np.array(t.n_symbols > 5))
+    assert {r.name for r in quality.plan(frame, rules=(first, last), sample_rows=400)} == {"first half", "last half"}
+    found = frame.sample(400 / 6000, 7).select((F.col("doc_id") < 3000).alias("early")).groupBy("early").count().collect()
+    assert min(r["count"] for r in found) > 120 and len(found) == 2
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert quality.judge(empty).count() == 0 and quality.keep(empty).count() == 0

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import types as T
 
+from tests.llm.test_quality import swapped
 from wovengraph.llm import substrings
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("at", T.StringType())])
@@ -36,6 +37,8 @@ def fixture():
         for _ in range(rng.randint(1, 5)):
             parts += [" ".join(rng.choices(vocabulary, k=rng.choice([1, 7, 60]))), rng.choice(passages) if rng.random() < 0.6 else ""]
         docs.append((20 + i * 3 % 331, rng.choice([" ", "\n", "\t\x0c"]).join(parts)))
+    tail = " ".join(rng.choices(vocabulary, k=19))
+    docs += [(500 + k, f"{w} {tail}") for k, w in enumerate(w for n in (10, 11, 12, 13) for w in swapped(1 << n))]  # alike in 19 words only
     return docs + [(400, docs[30][1]), (401, docs[30][1]), (-5, docs[40][1])]
 
 

@@ -4,6 +4,7 @@ chunks, and vectorised hashing of words over UTF-8 buffers."""
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step holds at once (a single longer text is one step).
@@ -18,10 +20,13 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, a folder of our own."""
+    """The folder in spark.checkpoint.dir.  Where that is unset, a folder of our own if all
+    runs on this machine; on a cluster that is an error, as executors wouldn't share it."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="wovengraph-ckpt-")
         atexit.register(shutil.rmtree, where, True)
     if not sc.getCheckpointDir():
@@ -68,22 +73,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 NOT_SPACE = ~_SPACE
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_BASE, _INVERSE)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(31))
@@ -93,17 +82,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(30))
 
 
+#: Bytes from which a span is hashed by itself and not in step with the others.
+LONG_SPAN = 256
+_LOW_BYTES = (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1)
+
+
 class Spans:
-    """Prefix sums over a byte buffer that give the 64-bit hash of any span."""
+    """64-bit hashes of spans of a byte buffer.
+
+    Each eight bytes go through a bijective finaliser that the state so far is mixed into, all
+    spans in step, so that no family of byte strings collides by construction: two spans agree
+    by chance only (one pair in 2^64).  Long spans go through XXH64."""
 
     def __init__(self, data: np.ndarray) -> None:
-        up, self._down = _powers_to(len(data) + 1)
-        self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self._sums[1:])
+        self._data = np.concatenate([data, np.zeros(8, np.uint8)])
+        self._lanes = np.ndarray(len(data) + 1, "<u8", self._data, strides=(1,))
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self._sums[ends] - self._sums[starts]) * self._down[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        size = ends - starts
+        out = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15)
+        for k in np.flatnonzero(size > LONG_SPAN).tolist():
+            out[k] = mix(np.array([xxhash.xxh64_intdigest(self._data[starts[k] : ends[k]], 17)], np.uint64) + out[k : k + 1])[0]
+        left = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+        at, n = starts[left], size[left]
+        while len(left):
+            lane = self._lanes[at]
+            part = n < 8
+            lane[part] &= _LOW_BYTES[n[part]]
+            out[left] = mix(out[left] ^ lane)
+            more = n > 8
+            left, at, n = left[more], at[more] + 8, n[more] - 8
+        return out
 
 
 def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

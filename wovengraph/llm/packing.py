@@ -36,7 +36,7 @@ WINDOW, UNIT, DEPTH = 2048, 8, 3
 #: Rows of one ranking cell, about.
 CELL_ROWS = 500_000
 #: Text bytes encoded at once.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 1 << 20
 
 
 def _byte_symbols() -> list[str]:

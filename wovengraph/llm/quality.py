@@ -1,10 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule is a measure of a text and a test that rejects it.  The cascade estimates
-each rule's cost (seconds a text) and selectivity (share rejected) on a bounded random
-sample, then applies the rules in the order of rejections per cost, and measures a
-text for a rule only while no earlier rule has rejected it.  The order changes the time
-taken and never the verdict, since a text is kept if no rule rejects it.
+each rule's cost (seconds a text) and selectivity (share rejected) on a random sample of
+bounded size that is drawn from all partitions and measured on the executors, then applies
+the rules in the order of rejections per cost, and measures a text for a rule only while no
+earlier rule has rejected it.  The order changes the time taken and never the verdict, since
+a text is kept if no rule rejects it.
 
 Rows: null text has no words, like the empty text.  Texts of any length are measured
 whole.  Repeated rows are judged each on their own; an empty table gives an empty result.
@@ -20,13 +21,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from wovengraph.llm.common import NOT_SPACE, Spans, buffers, chunks, per_text, repeats, runs, strings
+from wovengraph.llm.common import NOT_SPACE, Spans, buffers, chunks, per_text, repeats, runs
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-#: Rows, at most, on which costs and selectivities are estimated.
-SAMPLE_ROWS = 2000
+_BULLET = np.zeros(256, bool)
+_BULLET[list(b"-*")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Rows, about, on which costs and selectivities are estimated, tasks that measure them, and bytes measured at once.
+SAMPLE_ROWS, SAMPLE_TASKS, SAMPLE_BYTES = 2000, 4, 1 << 20
+#: Measures of a text that stay with it when a rule leaves fewer texts.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 class Texts:
@@ -43,7 +51,10 @@ class Texts:
         return self._made[name]
 
     def take(self, rows: np.ndarray) -> Texts:
-        return Texts(self.column.take(pa.array(rows)))
+        """Some of the texts, with what was measured of them."""
+        some = Texts(self.column.take(pa.array(rows)))
+        some._made = {k: v[rows] for k, v in self._made.items() if k in MEASURES}
+        return some
 
     @property
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +72,25 @@ class Texts:
 
     @property
     def n_words(self) -> np.ndarray:
-        return np.diff(self.words[2])
+        return self._once("n_words", lambda: np.diff(self.words[2]))
+
+    @property
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the lines (between line feeds) that have a word."""
+
+        def make():
+            starts, ends = runs(self.data != 10, self.offsets)  # lines without a character have no word
+            words = np.zeros(len(self.data) + 1, np.int64)
+            np.cumsum(NOT_SPACE[self.data], out=words[1:])
+            used = words[ends] > words[starts]
+            return starts[used], ends[used]
+
+        return self._once("lines", make)
+
+    def lines_with(self, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text, how many of its `lines` are marked, and how many there are."""
+        edges = np.searchsorted(self.lines[0], self.offsets)
+        return per_text(marked, edges), np.diff(edges)
 
     @property
     def word_chars(self) -> np.ndarray:
@@ -76,13 +105,7 @@ class Texts:
         """Lines (between line feeds) with a word that equal an earlier line."""
 
         def make():
-            starts, ends = runs(self.data != 10, self.offsets)  # lines without a character have no word
-            if not len(starts):
-                return np.zeros(len(self.column), np.int64)
-            words = np.zeros(len(self.data) + 1, np.int64)
-            np.cumsum(NOT_SPACE[self.data], out=words[1:])
-            used = words[ends] > words[starts]
-            starts, ends = starts[used], ends[used]
+            starts, ends = self.lines
             text = np.searchsorted(self.offsets, starts, "right") - 1
             _, later = repeats(text, self.spans.hash(starts, ends))
             return per_text(later, np.searchsorted(starts, self.offsets))
@@ -141,47 +164,85 @@ def _same_lines(t: Texts) -> np.ndarray:
     return 10 * t.n_dup_lines > 3 * lines
 
 
+def _few_letters(t: Texts) -> np.ndarray:
+    """Of ten words fewer than seven have a letter (ASCII, or any character beyond)."""
+    starts, ends, first = t.words
+    letters = np.zeros(len(t.data) + 1, np.int32)
+    np.cumsum(_LETTER[t.data], out=letters[1:])
+    return 10 * per_text(letters[ends] > letters[starts], first) < 7 * t.n_words
+
+
+def _bullets(t: Texts) -> np.ndarray:
+    """Of ten lines with a word more than nine begin with a hyphen or an asterisk."""
+    marked, n = t.lines_with(_BULLET[t.data[t.lines[0]]])
+    return 10 * marked > 9 * n
+
+
+def _cut_lines(t: Texts) -> np.ndarray:
+    """Of ten lines with a word more than three end with three dots."""
+    starts, ends = t.lines
+    dots = ends - starts >= 3
+    for k in (1, 2, 3):
+        dots &= t.data[ends - np.minimum(k, ends - starts)] == 46
+    marked, n = t.lines_with(dots)
+    return 10 * marked > 3 * n
+
+
 BASE = (Rule("few words", _short), Rule("repeated windows", _repetitive))
-DEFAULT = (*BASE, Rule("symbols", _symbols), Rule("word length", _word_length), Rule("same lines", _same_lines))
+DEFAULT = (*BASE, Rule("symbols", _symbols), Rule("word length", _word_length), Rule("same lines", _same_lines), Rule("few letters", _few_letters), Rule("bullets", _bullets), Rule("cut lines", _cut_lines))
 
 
-def estimate(column: pa.Array, rules: tuple[Rule, ...], runs_each: int = 3) -> list[tuple[str, float, float]]:
-    """(name, seconds a text, share rejected) of each rule on the sampled texts."""
+def estimate(column: pa.Array, rules: tuple[Rule, ...], known: bool = False, runs_each: int = 3) -> list[tuple[str, float, int]]:
+    """(name, seconds, texts rejected) of each rule on some texts; `known`: MEASURES have been taken before."""
     found = []
     for rule in rules:
-        took, share = [], 0.0
+        took, bad = [], 0
         for _ in range(runs_each):
             t = Texts(column)
+            if known:
+                for m in MEASURES:
+                    getattr(t, m)
+                t = t.take(np.arange(len(column)))
             began = time.perf_counter()
-            share = float(rule.rejects(t).mean()) if len(column) else 0.0
+            bad = int(rule.rejects(t).sum())
             took.append(time.perf_counter() - began)
-        found.append((rule.name, min(took) / max(1, len(column)), share))
+        found.append((rule.name, min(took), bad))
     return found
 
 
-def plan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = DEFAULT, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> tuple[Rule, ...]:
-    """The rules ordered by rejection per cost, as estimated on a bounded sample.
+def plan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = DEFAULT, known: bool = False, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> tuple[Rule, ...]:
+    """The rules ordered by rejections per cost, as estimated on about `sample_rows` rows, drawn
+    at random from the whole table and measured by SAMPLE_TASKS tasks; the driver gets a row
+    a rule from each."""
+    share = min(1.0, sample_rows / max(1, docs.count()))
 
-    A fifth of the rows of the first partitions is drawn until `sample_rows` are found,
-    so the job stops early and the driver holds at most that many texts."""
-    rows = docs.select(text).sample(0.2, seed).take(sample_rows)  # reads partitions only until it has them
-    column = pa.array([r[0] for r in rows], pa.string())
-    by = {name: share / max(cost, 1e-12) for name, cost, share in estimate(strings(column), rules)}
-    return tuple(sorted(rules, key=lambda r: -by[r.name]))
-
-
-def verdicts(column: pa.Array, rules: tuple[Rule, ...]) -> np.ndarray:
-    """Index of the rule that rejected each text (-1: kept); later rules see only the texts left."""
-    failed = np.full(len(column), -1, np.int64)
-    left, texts = np.arange(len(column)), Texts(column)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, column in chunks(batches, "text", SAMPLE_BYTES):
+            rows = estimate(column, rules, known)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["rule", "seconds", "bad"])
+
+    few = docs.select(F.col(text).alias("text")).sample(share, seed).repartition(SAMPLE_TASKS)
+    sums = few.mapInArrow(run, "rule string, seconds double, bad long").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("bad").alias("n"))
+    worth = {r.rule: r.n / max(r.s, 1e-9) for r in sums.collect()}
+    return tuple(sorted(rules, key=lambda r: -worth.get(r.name, 0.0)))
+
+
+def verdicts(column: pa.Array | Texts, rules: tuple[Rule, ...], left: np.ndarray | None = None) -> np.ndarray:
+    """Index of the rule that rejected each text (-1: none, or not among `left`, the rows to
+    judge); later rules see only the texts left."""
+    texts = column if isinstance(column, Texts) else Texts(column)
+    failed = np.full(len(texts.column), -1, np.int64)
+    if left is None:
+        left = np.arange(len(failed))
+    elif len(left) < len(failed):
+        texts = texts.take(left)
     for k, rule in enumerate(rules):
         if not len(left):
             break
         bad = rule.rejects(texts)
         if bad.any():
             failed[left[bad]] = k
-            left = left[~bad]
-            texts = Texts(column.take(pa.array(left)))
+            left, texts = left[~bad], texts.take(np.flatnonzero(~bad))
     return failed
 
 
@@ -200,25 +261,23 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tu
     """Every row's measures and verdict: the id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words (long), base_failed and kept (boolean).
 
-    Measures are wanted for every text here, so they are computed once per chunk and the
-    rules read them; `keep` is the form that stops at the first rejection."""
-    rules = rules or DEFAULT
-    ordered = plan(docs, text, rules)
+    The measures and the base rules are wanted for every text.  All other rules run as the
+    cascade, on texts that no base rule and no earlier rule has rejected; its order is
+    estimated with the measures known."""
+    base, rest = [r for r in rules or DEFAULT if r in BASE], tuple(r for r in rules or DEFAULT if r not in BASE)
+    ordered = plan(docs, text, rest, known=True) if rest else ()
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, column in chunks(batches, text):
             t = Texts(column)
-            base = np.zeros(len(column), bool)
-            for rule in BASE:
-                base |= rule.rejects(t)
-            kept = ~base
-            for rule in ordered:
-                if rule not in BASE and kept.any():
-                    kept &= ~rule.rejects(t)
+            failed = np.zeros(len(column), bool)
+            for rule in base:
+                failed |= rule.rejects(t)
+            measured = [getattr(t, m).astype(np.int64) for m in MEASURES]
+            kept = ~failed & (verdicts(t, ordered, np.flatnonzero(~failed)) < 0)
             out = [batch.column(batch.schema.get_field_index(doc_id))]
-            out += [pa.array(x.astype(np.int64)) for x in (t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words)]
-            out += [pa.array(base), pa.array(kept)]
+            out += [pa.array(x) for x in (*measured, failed, kept)]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
 
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"

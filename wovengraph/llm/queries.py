@@ -82,23 +82,29 @@ often AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id,
 rep AS (
   SELECT doc_id, count(DISTINCT p) AS n
   FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM often) GROUP BY doc_id),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
+lines AS (
+  SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (
-  SELECT doc_id, sum(c - 1) AS n FROM (
-    SELECT doc_id, line, count(*) AS c FROM lines
-    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line) GROUP BY doc_id),
+  SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, line, count(*) AS c FROM lines GROUP BY doc_id, line) GROUP BY doc_id),
+marks AS (
+  SELECT doc_id, count(*) AS n_used, count(*) FILTER (line[1] IN ('-', '*')) AS n_bullets,
+         count(*) FILTER (ends_with(line, '...')) AS n_cut FROM lines GROUP BY doc_id),
 m AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words,
          coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
          coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-         len(string_split(text, chr(10))) AS n_lines
-  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)),
+         len(string_split(text, chr(10))) AS n_lines,
+         len(list_filter(ws, lambda x: regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) AS n_lettered,
+         coalesce(n_used, 0) AS n_used, coalesce(n_bullets, 0) AS n_bullets, coalesce(n_cut, 0) AS n_cut
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN marks USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words
-            OR word_chars > 20 * n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept
+            OR word_chars > 20 * n_words OR 10 * n_dup_lines > 3 * n_lines
+            OR 10 * n_lettered < 7 * n_words OR 10 * n_bullets > 9 * n_used OR 10 * n_cut > 3 * n_used) AS kept
 FROM b
 """
 

@@ -25,7 +25,7 @@ from wovengraph.llm.merges import RankMerger
 
 SPACE = "▁"
 #: Text bytes counted at once.
-COUNT_BYTES = 4 << 20
+COUNT_BYTES = 1 << 20
 
 
 class Counter:
