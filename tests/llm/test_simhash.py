@@ -222,7 +222,7 @@ def test_long_texts_near_the_similarity_are_compared_whole(spark, monkeypatch):
         x, y = slow_shingles(texts[k]), slow_shingles(texts[k + 1])
         near.append(len(x & y) >= 0.8 * len(x | y))
     assert 0 < sum(near) < len(near)
-    sketches = simhash.sketches(simhash.Words(pa.array(texts)), 5).to_pylist()
+    sketches = simhash.sketches(simhash.Words(pa.array(texts)), 5)[0].to_pylist()
     assert [simhash.similar_forest(sketches[k : k + 2]) == ([0], [1]) for k in range(0, len(texts), 2)] == near
     monkeypatch.setattr(simhash, "BYTES", 30_000)  # blocks of a few long texts
     kept = simhash.deduplicate(spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], DOCS))
@@ -236,7 +236,7 @@ def test_a_repeated_verification_gives_the_same_links():
     vocabulary = [f"w{i}" for i in range(500)]
     words = rng.choices(vocabulary, k=200)
     texts = [edited(rng, words, rng.choice([1, 2, 4, 6]), vocabulary) for _ in range(40)]
-    members = [{"th": rng.getrandbits(62), "sketch": s} for s in simhash.sketches(simhash.Words(pa.array(texts)), 5).to_pylist()]
+    members = [{"th": rng.getrandbits(62), "sketch": s} for s in simhash.sketches(simhash.Words(pa.array(texts)), 5)[0].to_pylist()]
     kind = pa.list_(pa.struct([("th", pa.int64()), ("sketch", pa.binary())]))
 
     def links(order):

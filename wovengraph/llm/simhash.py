@@ -25,9 +25,12 @@ The keys only come first, as they put large families of copies together cheaply.
 miss is found by an exact prefix filter: of two texts of that similarity, each has a shingle
 in common with the other among the first fifth (`prefix`) of its own shingles in any order
 that is the same for all texts.  Here that is by hash, with shingles that a sample shows to be
-common last.  Texts of one group already needn't meet again; of the others, pairs whose
-prefixes share fewer shingles than that similarity implies are dropped, and the rest compared
-by all their shingle hashes (32 bits each, of texts of any length).
+common last.  Texts of one coarse group have been compared and needn't meet again; of the
+others, pairs whose prefixes share fewer shingles than that similarity implies are dropped, and
+the rest compared by all their shingle hashes (32 bits each, of texts of any length).
+
+Equal texts are brought together first, on the map side where they can be, so all that comes
+after has a row a distinct text; the texts themselves are read once for that and hashed once.
 
 Rows: null and empty texts have fingerprint zero and link like any other (without words
 they are alike); null ids take part and are passed over as component ids unless no other id
@@ -45,7 +48,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wovengraph.llm.common import NOT_SPACE, Spans, buffers, checkpoint, chunks, runs
@@ -248,13 +251,15 @@ def shingle_hashes(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(of), np.concatenate(values)
 
 
-def sketches(words: Words, shingle: int) -> pa.Array:
-    """Each text's distinct hashes of word shingles, ascending, as little-endian 32-bit numbers."""
+def sketches(words: Words, shingle: int) -> tuple[pa.Array, np.ndarray]:
+    """Each text's distinct hashes of word shingles, ascending, as little-endian 32-bit numbers,
+    and how many these are."""
     n = len(words.n)
     of, values = shingle_hashes(words, shingle)
     of, values = _distinct(of, values >> np.uint64(32))
     ends = 4 * np.searchsorted(of, np.arange(n + 1))
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values.astype("<u4").tobytes())])
+    made = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values.astype("<u4").tobytes())])
+    return made, np.diff(ends) // 4
 
 
 def _distinct(text: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,27 +271,24 @@ def _distinct(text: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return text[new], values[new]
 
 
-def shingled(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
-    """(fp, th, sketch) for every row; th is a hash of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, column in chunks(batches, "text", PIECE):
-            words = Words(column)
-            yield pa.RecordBatch.from_arrays([pa.array(word_fingerprints(words)), batch.column(0), sketches(words, shingle)], ["fp", "th", "sketch"])
-
-    return docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(released(run), "fp long, th long, sketch binary")
-
-
-def worded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, th, fp) for every row."""
+def described(docs: DataFrame, common: np.ndarray, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """A row a distinct text: th (its hash), id (the least, as (is it null, the id)), fp (of its
+    distinct words), n (distinct shingles), sketch (their hashes), prefix (keys, see `prefix`)."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    id_kind = f"struct<none:boolean,id:{kind}>"
+    own = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))
+    texts = docs.groupBy(F.xxhash64(text).alias("th")).agg(F.min(own).alias("id"), F.first(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, column in chunks(batches, "text", PIECE):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(word_fingerprints(Words(column)))], ["doc_id", "th", "fp"])
+            words = Words(column)
+            of, key, _ = prefix(words, shingle, common)
+            edges = np.searchsorted(of, np.arange(len(column) + 1)).astype(np.int32)
+            sketch, n = sketches(words, shingle)
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(key))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(word_fingerprints(words)), pa.array(n), sketch, lists], ["th", "id", "fp", "n", "sketch", "prefix"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    return rows.mapInArrow(released(run), f"doc_id {kind}, th long, fp long")
+    return texts.mapInArrow(released(run), f"th long, id {id_kind}, fp long, n long, sketch binary, prefix array<bigint>")
 
 
 def _all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,13 +395,18 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def similar_texts(rows: DataFrame, sketched: DataFrame) -> DataFrame:
+def coarse_groups(texts: DataFrame) -> DataFrame:
+    """(fp, root, several): the coarse group of each word fingerprint, and whether it is one of
+    several fingerprints or texts."""
+    fps = checkpoint(texts.groupBy("fp").agg((F.min("th") != F.max("th")).alias("several")))
+    found = components(coarse_links(fps)).withColumnRenamed("node", "fp")
+    return checkpoint(fps.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), (F.col("several") | F.col("root").isNotNull()).alias("several")))
+
+
+def similar_texts(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b): links among the texts (th) that connect those that share a coarse group and are
-    similar; `rows` has (th, fp) of all texts, `sketched` (fp, th, sketch)."""
-    fps = checkpoint(rows.groupBy("fp").agg((F.min("th") != F.max("th")).alias("several")))
-    coarse = components(coarse_links(fps))
-    group = fps.join(coarse, fps.fp == coarse.node, "left").where("several or root is not null").select("fp", F.coalesce("root", "fp").alias("root"))
-    member = checkpoint(sketched.join(group, "fp").select("root", "th", "sketch").dropDuplicates(["root", "th"]))
+    similar; `texts` has (fp, th, sketch), `groups` is as `coarse_groups` gives it."""
+    member = checkpoint(texts.join(groups.where("several"), "fp").select("root", "th", "sketch"))
     blocks = member.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / TEXTS, F.sum(F.length("sketch")) / BYTES, F.lit(1.0))).cast("int").alias("n"))
     dealt = member.join(blocks, "root").withColumn("x", F.pmod("th", "n"))
     meets = dealt.withColumn("y", F.explode(F.expr("sequence(0, n - 1)"))).select("root", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "th", "sketch")
@@ -427,7 +434,7 @@ def prefix(words: Words, shingle: int, common: np.ndarray, similarity: float = S
     return of[first], key[first].view(np.int64), size[of[first]]
 
 
-def common_shingles(docs: DataFrame, rows: int, text: str = "text", shingle: int = 5) -> np.ndarray:
+def common_shingles(docs: DataFrame, text: str = "text", shingle: int = 5) -> np.ndarray:
     """Keys of shingles, sorted, that several of about SAMPLE texts have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,9 +442,10 @@ def common_shingles(docs: DataFrame, rows: int, text: str = "text", shingle: int
             of, key = shingle_hashes(Words(column), shingle)
             yield pa.RecordBatch.from_arrays([pa.array(_distinct(of, key >> np.uint64(1))[1].view(np.int64))], ["key"])
 
-    some = docs.where(F.pmod(F.xxhash64(text), F.lit(max(1, rows // SAMPLE))) == 0).select(F.col(text).alias("text"))
+    share = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64(text), F.lit(share)) == 0).select(F.col(text).alias("text")).distinct()
     often = some.mapInArrow(released(run), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    return np.sort(np.array([r.key for r in often.orderBy(F.desc("n"), "key").limit(KEPT).collect()], np.uint64))
+    return np.sort(often.orderBy(F.desc("n"), "key").limit(KEPT).select("key").toArrow()["key"].to_numpy()).view(np.uint64)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,20 +494,13 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = to
 
 
-def candidates(docs: DataFrame, groups: DataFrame, common: np.ndarray, text: str = "text", shingle: int = 5) -> DataFrame:
-    """(a, b): pairs of texts (th), among them all that are similar and not in one of `groups`
-    (th, root) together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, column in chunks(batches, "text", PIECE):
-            of, key, n = prefix(Words(column), shingle, common)
-            th = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(th[of]), pa.array(n)], ["key", "th", "n"])
-
+def candidates(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): pairs of texts (th), among them all that are similar and of different coarse groups."""
     schema = "key long, th long, n long"
-    filed = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).mapInArrow(released(run), schema)
-    shared = checkpoint(filed.repartition("key").sortWithinPartitions("key", "th").mapInArrow(released(_shared), schema))
-    known = shared.join(groups, "th", "left").withColumn("root", F.coalesce("root", "th"))
+    filed = texts.select(F.explode("prefix").alias("key"), "th", "n").repartition("key").sortWithinPartitions("key", "th")
+    shared = checkpoint(filed.mapInArrow(released(_shared), schema))
+    roots = texts.select("th", "fp").join(groups.select("fp", "root"), "fp").select("th", "root")
+    known = shared.join(roots, "th")
     mixed = known.groupBy("key").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "k")
     dealt = known.join(mixed, "key").withColumn("x", F.pmod(F.xxhash64("th"), "k"))
     meets = dealt.withColumn("y", F.explode(F.expr("sequence(0, k - 1)"))).select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.struct("th", "n", "root", "x").alias("one"))
@@ -522,11 +523,11 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
 
-def missed_links(docs: DataFrame, rows: DataFrame, groups: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
-    """(a, b): all links among similar texts (th) that `groups` (th, root) doesn't hold together."""
-    pairs = checkpoint(candidates(docs, groups, common_shingles(docs, rows.count(), text, shingle), text, shingle))
+def missed_links(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): all links among similar texts (th) of different coarse groups."""
+    pairs = checkpoint(candidates(texts, groups))
     wanted = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
-    whole = checkpoint(shingled(docs, text, shingle).select("th", "sketch").join(F.broadcast(wanted), "th", "left_semi").dropDuplicates(["th"]))
+    whole = checkpoint(texts.select("th", "sketch").join(wanted, "th", "left_semi"))
     x, y = whole.select(F.col("th").alias("a"), F.col("sketch").alias("x")), whole.select(F.col("th").alias("b"), F.col("sketch").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(released(_similar), "a long, b long")
 
@@ -534,14 +535,19 @@ def missed_links(docs: DataFrame, rows: DataFrame, groups: DataFrame, text: str
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """One row of each group of similar texts, all columns: that with the least id (a null id
     only where no other is), of rows with that id the text with the least hash."""
-    rows = checkpoint(worded(docs, doc_id, text))
-    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th"))
-    met = components(similar_texts(rows, shingled(docs, text, shingle)))
-    missed = missed_links(docs, rows, met.withColumnRenamed("node", "th"), text, shingle)
-    found = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")).union(missed)).withColumnRenamed("node", "th")
-    marked = rows.drop("fp").join(found, "th", "left").withColumn("root", F.coalesce("root", "th"))
-    best = marked.groupBy("root").agg(F.min(own).alias("best")).select(F.col("best.id").alias("__id"), F.col("best.th").alias("__th"))
-    left = docs.withColumn("__h", F.xxhash64(text))
-    kept = left.join(best, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi")
-    once = kept.withColumn("__n", F.row_number().over(Window.partitionBy(doc_id, "__h").orderBy(F.lit(0))))
+    texts = checkpoint(described(docs, common_shingles(docs, text, shingle), doc_id, text, shingle))
+    groups = coarse_groups(texts)
+    found = components(similar_texts(texts, groups).union(missed_links(texts, groups))).withColumnRenamed("node", "th")
+    marked = texts.select("th", "id").join(found, "th", "left").withColumn("root", F.coalesce("root", "th"))
+    best = marked.groupBy("root").agg(F.min(F.struct("id.none", "id.id", "th")).alias("best")).select("best.*")
+    key = [F.col(doc_id).isNull().alias("__none"), F.coalesce(F.col(doc_id), _zero(docs, doc_id)).alias("__id"), F.xxhash64(text).alias("__th")]
+    chosen = best.select(F.col("none").alias("__none"), F.coalesce("id", _zero(docs, doc_id)).alias("__id"), F.col("th").alias("__th"))
+    # Join and numbering share the keys, so the rows cross the network once for both.
+    kept = docs.select("*", *key).join(chosen, ["__none", "__id", "__th"], "left_semi")
+    once = kept.withColumn("__n", F.row_number().over(Window.partitionBy("__none", "__id", "__th").orderBy(F.lit(0))))
     return once.where("__n = 1").select(*docs.columns)
+
+
+def _zero(docs: DataFrame, doc_id: str) -> Column:
+    """A value of the id's type that stands beside the mark of a null id."""
+    return F.lit("0").cast(docs.schema[doc_id].dataType)
