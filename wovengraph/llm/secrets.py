@@ -1,16 +1,18 @@
 """Secret scanning: pattern rules plus a character convolutional network.
 
-The rules give the base findings, which always stay.  Every other run of token characters
-that has the shape of a credential is a candidate; the network reads the candidate whole
-(long ones in pieces) with its surrounding context, and adds those whose calibrated
-probability reaches a threshold chosen as the most precise one that keeps a required recall
-on held-out labelled findings.  The labelled findings are generated from a fixed seed:
-credentials of many formats and look-alikes (numbers, links, identifiers, long words) in
-prose, key-value lines and code.  Training takes seconds on the driver and depends on
-nothing in the corpus; the weights (some 30 kB) travel in the closure.
-
-Rows: null text is empty and has no findings.  Texts of any length are scanned whole.
-Repeated rows are judged each on their own.  Only the named columns are read."""
+The rules give the base findings, which always stay.  Every run of SHORTEST or more token
+characters is a candidate, whatever it looks like and also where it overlaps a base finding;
+the network reads it whole (long ones in pieces) with its surrounding context, and those whose
+calibrated probability reaches a threshold are added, unless one base finding covers them.
+The threshold is the most precise one that keeps a required recall.  The labelled findings are
+generated from a fixed seed: credentials of many formats and look-alikes (words of letters,
+numbers, links, identifiers) in prose, key-value lines and code; three fifths train the
+network, one fifth calibrates it and one fifth sets the threshold.  Training takes seconds on
+the driver and depends on nothing in the corpus; the weights (some 30 kB) travel in the closure.
+
+Rows: null text is empty and has no findings.  Texts of any length are scanned whole, in time
+linear in their length but for sorting.  Repeated rows are judged each on their own.  Only the
+named columns are read."""
 
 from __future__ import annotations
 
@@ -42,11 +44,12 @@ def _class(chars: str) -> np.ndarray:
 
 _HEX = _class("0123456789abcdef")
 _TOKEN = _class(string.ascii_letters + string.digits + "+/_=-")
-_DIGIT, _UPPER, _LOWER = _class(string.digits), _class(string.ascii_uppercase), _class(string.ascii_lowercase)
 
 #: Shortest candidate; bytes of context before and after; bytes of a candidate that one window holds.
-SHORTEST, BEFORE, AFTER, PIECE = 16, 24, 12, 64
+SHORTEST, BEFORE, AFTER, PIECE = 12, 24, 12, 64
 _WIDTH = BEFORE + PIECE + AFTER
+#: Labelled findings generated, and formats of credentials among them.
+FINDINGS, FORMATS = 9000, 11
 #: Share of labelled secrets that the threshold must keep.
 RECALL = 0.98
 REDACTED = "[REDACTED]"
@@ -119,11 +122,12 @@ def _adam(params: list[np.ndarray], grads: list[np.ndarray], state: list, step:
         p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
 
-def fit(codes: np.ndarray, labels: np.ndarray, seed: int = 11, steps: int = 500, batch: int = 96, dim: int = 8, filters: int = 24, recall: float = RECALL) -> Network:
-    """Train on four fifths of the labelled windows, then calibrate and choose the threshold on the rest."""
+def fit(codes: np.ndarray, labels: np.ndarray, seed: int = 11, steps: int = 900, batch: int = 96, dim: int = 8, filters: int = 24, recall: float = RECALL) -> Network:
+    """Train on three fifths of the labelled windows, calibrate on one fifth and choose the threshold on the last."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(labels))
-    held, used = order[: len(order) // 5], order[len(order) // 5 :]
+    fifth = len(order) // 5
+    held, last, used = order[:fifth], order[fifth : 2 * fifth], order[2 * fifth :]
     net = Network(rng.normal(0, 0.3, (3 * _CODES, dim)), rng.normal(0, 0.15, (Network.SPAN * dim, filters)), np.zeros(filters), rng.normal(0, 0.1, 2 * filters))
     offset = np.zeros(1)
     params = [net.table, net.filters, net.bias, net.dense, offset]
@@ -146,14 +150,14 @@ def fit(codes: np.ndarray, labels: np.ndarray, seed: int = 11, steps: int = 500,
         grads = [dtable, unfolded.reshape(-1, unfolded.shape[2]).T @ flat, flat.sum(0), pooled.T @ dz, np.array([dz.sum()])]
         _adam(params, grads, state, step, 0.01)
         net.offset = float(offset[0])
-    # Platt scaling on the held-out findings.
+    # Platt scaling on findings held out for it.
     z, y = np.concatenate([net.forward(codes[held[i : i + 256]])[0] for i in range(0, len(held), 256)]), labels[held]
     a, b = 1.0, 0.0
     for _ in range(300):
         e = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30))) - y
         a, b = a - 0.05 * (e * z).mean(), b - 0.05 * e.mean()
     net.scale, net.shift = float(a), float(b)
-    p = net.probability(codes[held])
+    p, y = net.probability(codes[last]), labels[last]
     # Recall falls as the threshold rises, so the most precise ones lie at the top of those allowed.
     allowed = np.sort(p[y == 1])[: max(1, int((1 - recall) * (y == 1).sum()) + 1)]
     precision = [(y[p >= t].mean(), t) for t in allowed]
@@ -161,13 +165,17 @@ def fit(codes: np.ndarray, labels: np.ndarray, seed: int = 11, steps: int = 500,
     return net
 
 
-def labelled_findings(n: int = 3000, seed: int = 23) -> tuple[list[str], list[int], list[int], list[int]]:
-    """(texts, starts, ends, labels): credentials and look-alikes in generated surroundings."""
+def labelled_findings(n: int = FINDINGS, seed: int = 23, formats: tuple[int, ...] | None = None) -> tuple[list[str], list[int], list[int], list[int]]:
+    """(texts, starts, ends, labels): credentials (of some FORMATS only, if named) and look-alikes
+    in generated surroundings."""
     rng = random.Random(seed)
     alnum, b64 = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     pick = lambda chars, k: "".join(rng.choices(chars, k=k))
     syllables = ["the", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "ung", "keit", "schaft", "tion", "ment"]
     word = lambda k: "".join(rng.choices(syllables, k=k))
+    # Words of no language: consonants by ones to sixes between vowels.
+    made = lambda k: "".join(pick("bcdfghjklmnpqrstvwxyz", rng.choice([0, 1, 1, 1, 2, 2, 3, 4, 6])) + pick("aeiou", rng.choice([1, 1, 1, 2, 3])) for _ in range(k)) + pick("nrtshzf", rng.randint(0, 3))
+    long = lambda: rng.choice([word(rng.randint(4, 9)), made(rng.randint(4, 9)), word(rng.randint(2, 4)) + made(rng.randint(2, 4))])
     secrets = [
         lambda: pick(alnum, rng.randint(20, 64)),
         lambda: pick(b64, rng.randint(24, 88)) + rng.choice(["", "=", "=="]),
@@ -177,9 +185,19 @@ def labelled_findings(n: int = 3000, seed: int = 23) -> tuple[list[str], list[in
         lambda: f"eyJ{pick(alnum, rng.randint(20, 60))}",
         lambda: f"{pick(string.ascii_uppercase + string.digits, 4)}-{pick(string.ascii_uppercase + string.digits, 8)}-{pick(string.ascii_uppercase + string.digits, 8)}",
         lambda: pick(alnum + "_-", rng.randint(24, 43)),
+        lambda: pick(alnum, rng.randint(12, 19)),
+        lambda: pick(string.ascii_lowercase + string.digits, rng.randint(20, 40)),
+        lambda: pick(string.ascii_uppercase + "234567", rng.randint(16, 52)),
     ]
+    assert len(secrets) == FORMATS
+    secrets = [secrets[k] for k in formats or range(FORMATS)]
     plain = [
-        lambda: pick(string.digits, rng.randint(16, 24)),
+        lambda: pick(string.digits, rng.randint(12, 24)),
+        lambda: pick(string.digits, 16),
+        long,
+        long,
+        lambda: long().upper(),
+        lambda: long().capitalize(),
         lambda: "-".join(pick(string.digits, rng.choice([3, 4, 5])) for _ in range(rng.randint(4, 6))),
         lambda: "_".join(word(2) for _ in range(rng.randint(3, 6))) + str(rng.randint(0, 99)),
         lambda: "-".join(word(2) for _ in range(rng.randint(3, 7))) + f"-{rng.randint(1, 2030)}",
@@ -199,6 +217,8 @@ def labelled_findings(n: int = 3000, seed: int = 23) -> tuple[list[str], list[in
         lambda t: f"https://{word(2)}.example.com/{t}?{word(1)}=1",
         lambda t: f"{{'{word(1)}': '{t}'}}",
         lambda t: t,
+        lambda t: f"{prose()}{pick('*&%$#', rng.randint(1, 3))} {t}{pick('*&%$#', rng.randint(1, 3))} {made(2)}",
+        lambda t: f"{made(2)}\u00fc {t} \u00e9{made(1)}",
     ]
     texts, starts, ends, labels = [], [], [], []
     while len(texts) < n:
@@ -215,14 +235,16 @@ def labelled_findings(n: int = 3000, seed: int = 23) -> tuple[list[str], list[in
 
 
 def coded(texts: list[str], starts: list[int], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(t) for t in texts])
+    raw = [t.encode() for t in texts]
+    sizes = np.array([len(t) for t in raw])
+    before = np.array([len(t[:a].encode()) - a for t, a in zip(texts, starts, strict=True)])  # tokens are ASCII
     lows = np.cumsum(sizes) - sizes
-    data = np.frombuffer("".join(texts).encode("ascii"), np.uint8)
-    return windows(data, lows + np.array(starts), lows + np.array(ends), lows, lows + sizes)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    return windows(data, lows + np.array(starts) + before, lows + np.array(ends) + before, lows, lows + sizes)
 
 
 @functools.cache
-def trained(n: int = 3000, seed: int = 23) -> Network:
+def trained(n: int = FINDINGS, seed: int = 23) -> Network:
     """The network fitted to the generated findings; made once a process."""
     texts, starts, ends, labels = labelled_findings(n, seed)
     codes, of = coded(texts, starts, ends)
@@ -252,22 +274,17 @@ def findings(column: pa.Array, net: Network) -> list[list[tuple[Finding, int]]]:
     starts, ends = starts[long], ends[long]
     edge = np.searchsorted(starts, offsets)
     base = [base_findings(t, [(int(a - offsets[i]), int(b - offsets[i])) for a, b in zip(starts[edge[i] : edge[i + 1]], ends[edge[i] : edge[i + 1]], strict=True)]) for i, t in enumerate(texts)]
-    # Candidates: long runs of token characters with letters, and digits or mixed case.
     starts, ends = runs(_TOKEN[data], offsets)
     long = ends - starts >= SHORTEST
     starts, ends = starts[long], ends[long]
-    if len(starts):
-        tell = np.zeros((3, len(data) + 1), np.int32)
-        for k, kind in enumerate((_DIGIT, _UPPER, _LOWER)):
-            np.cumsum(kind[data], out=tell[k, 1:])
-        digits, upper, lower = tell[:, ends] - tell[:, starts]
-        shaped = ((digits >= 2) & (upper + lower >= 2)) | ((upper >= 3) & (lower >= 3))
-        starts, ends = starts[shaped], ends[shaped]
     if len(starts):
         text = np.searchsorted(offsets, starts, "right") - 1
-        free = np.ones(len(starts), bool)
-        for k, (a, b, i) in enumerate(zip(starts, ends, text, strict=True)):
-            free[k] = all(e <= a - offsets[i] or s >= b - offsets[i] for (s, e, _), _ in base[i])
+        # How far the base findings that begin no later reach, over the whole chunk.
+        own = [(a + offsets[i], b + offsets[i]) for i, f in enumerate(base) for (a, b, _), _ in f]
+        own = np.array(own, np.int64).reshape(-1, 2)
+        own = own[np.argsort(own[:, 0], kind="stable")]
+        reach = np.concatenate([[0], np.maximum.accumulate(own[:, 1])]) if len(own) else np.zeros(1, np.int64)
+        free = reach[np.searchsorted(own[:, 0], starts, "right")] < ends
         starts, ends, text = starts[free], ends[free], text[free]
         for at in range(0, len(starts), 1024):
             s, e, t = starts[at : at + 1024], ends[at : at + 1024], text[at : at + 1024]
