@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wovengraph.llm import sharding
@@ -54,3 +55,45 @@ def test_maps_are_versioned_and_move_little(spark, tmp_path):
         m.save(spark, str(tmp_path / "maps"))
     assert sharding.SlotMap.load(spark, str(tmp_path / "maps")) == grown
     assert sharding.SlotMap.load(spark, str(tmp_path / "maps"), 2) == two
+
+
+def test_slots_follow_from_id_and_text_and_bytes_add_up(spark, tmp_path):
+    """Slots, bytes a slot and the bytes that an edit of the map moves, against plain Python."""
+    import xxhash
+
+    rng = random.Random(4)
+    docs = [(i, "".join(rng.choices("abcé ", k=rng.choice([0, 3, 50, 900])))) for i in range(3000)]
+    folder = str(tmp_path / "maps")
+    rows = sharding.place(spark.createDataFrame([(d, t, "x") for d, t in docs], DOCS), folder=folder).collect()
+    want = {}
+    for d, t in docs:
+        h = xxhash.xxh64_intdigest(t.encode(), xxhash.xxh64_intdigest(d.to_bytes(8, "little"), 42))
+        want[d] = (h - (1 << 64) if h >> 63 else h) % sharding.SLOTS
+    assert {r.doc_id: r.virtual_slot for r in rows} == want
+    first, used = (sharding.SlotMap.load(spark, folder, v) for v in (1, 2))
+    assert {r.map_version for r in rows} == {2} and all(r.shard == used.shard[r.virtual_slot] for r in rows)
+    size = np.zeros(sharding.SLOTS, np.int64)
+    for d, t in docs:
+        size[want[d]] += len(t.encode()) + 8
+    assert [sum(r.size for r in rows if r.shard == k) for k in range(24)] == np.bincount(used.shard, size, 24).astype(int).tolist()
+    moved = sum(int(s) for s, a, b in zip(size, first.shard, used.shard, strict=True) if a != b)
+    # As few bytes as lie over the mean, or little more.
+    over = np.maximum(np.bincount(first.shard, size, 24) - size.sum() / 24, 0).sum()
+    assert over * 0.9 <= moved <= 2 * over + 0.01 * size.sum()
+    # Again over the same rows: nothing moves and the version stays; another number of shards edits it.
+    again = sharding.place(spark.createDataFrame([(d, t, "x") for d, t in docs], DOCS), folder=folder).collect()
+    assert {(r.doc_id, r.shard) for r in again} == {(r.doc_id, r.shard) for r in rows}
+    grown = sharding.place(spark.createDataFrame([(d, t, "x") for d, t in docs], DOCS), 25, folder=folder).collect()
+    assert {r.map_version for r in grown} == {3} and sharding.SlotMap.versions(spark, folder) == [1, 2, 3]
+    assert sum(r.shard == old.shard for r, old in zip(sorted(grown), sorted(rows), strict=True)) > 0.9 * len(rows)
+    check(grown, 25)
+
+
+def test_repeated_rows_and_long_texts_keep_the_law(spark):
+    same = spark.range(50_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("y" * 200).alias("text"), F.lit("").alias("size"))
+    others = spark.range(2000).select((F.col("id") + 100).alias("doc_id"), F.repeat(F.lit("z"), (F.col("id") % 300).cast("int")).alias("text"), F.lit("").alias("size"))
+    long = spark.createDataFrame([(5, "w" * 300_000, ""), (6, "v" * 300_000, "")], DOCS)
+    rows = sharding.place(same.union(others).union(long)).collect()
+    assert len(rows) == 52_002
+    high, low = check(rows)
+    assert high < 1.01 and low > 0.99

@@ -40,6 +40,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the cluster's file system, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def strings(column: pa.Array) -> pa.Array:
     """A string array without nulls (null becomes the empty text), 32-bit offsets."""
     if not pa.types.is_string(column.type):

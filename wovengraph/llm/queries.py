@@ -3,7 +3,7 @@ production parameters, to the whole of its table, and derives the digest columns
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -63,7 +63,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.place(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=24, folder=f"{shared_dir(spark)}/slot_maps/{uuid.uuid4().hex}")
+    return sharding.place(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=24, folder=f"{shared_dir(spark)}/slot_maps/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

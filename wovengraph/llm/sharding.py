@@ -1,17 +1,21 @@
 """Sharding over fixed virtual slots.
 
 Records hash into a fixed number of slots, far more than shards.  Bytes are summed per slot,
-and a versioned map sends slots to shards.  Rebalancing edits the map: it moves as few bytes
-as it takes to bring every shard near the mean, and gives the map the next version, so that
-old versions stay readable and a record's slot never changes.
+and a versioned map sends slots to shards.  Rebalancing loads the map in force and edits it: it
+moves as few bytes as it takes to bring every shard near the mean, and the edited map gets the
+next version, so that old versions stay readable and a record's slot never changes.  Where
+nothing has to move the version in force stays.
 
 The law that holds is `bytes`: shards are near equal in size.  The map has a row a slot, a
 number fixed by parameter, so it is small enough for the driver and the executors whatever
 the input.  A record's place in its shard follows from counts per cell (slot and part of
 the hash), so no task numbers the rows of a whole shard.
 
-Rows: a null text has no bytes.  Null ids hash like any other value.  Repeated rows are placed
-each on its own.  An empty table gives an empty result; only the named columns are read."""
+Rows: a null text has no bytes.  Null ids hash like any other value.  A record's slot follows
+from its id and text; repeated rows, which these can't tell apart, are spread over the slots
+by a serial number, so that however often a row is repeated the law holds.  A text larger than
+a shard's share makes its shard that large.  An empty table gives an empty result; only the
+named columns are read."""
 
 from __future__ import annotations
 
@@ -23,6 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wovengraph.llm.common import checkpoint
+
 #: Virtual slots; cells a slot for numbering; bytes that a record takes beside its text.
 SLOTS, CELLS, OVERHEAD = 8192, 8, 8
 
@@ -93,20 +99,46 @@ class SlotMap:
     def load(spark: SparkSession, folder: str, version: int | None = None) -> SlotMap:
         """A stored version; the last unless one is named."""
         if version is None:
-            version = max(r.version for r in spark.read.text(folder).select("version").distinct().collect())
+            version = max(SlotMap.versions(spark, folder))
         x = json.loads(spark.read.text(f"{folder}/version={version}").collect()[0].value)
         return SlotMap(x["version"], x["shards"], tuple(x["shard"]))
 
+    @staticmethod
+    def versions(spark: SparkSession, folder: str) -> list[int]:
+        """The versions stored in a folder, none if it isn't there."""
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(where):
+            return []
+        names = [x.getPath().getName() for x in files.listStatus(where)]
+        return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def in_force(spark: SparkSession, folder: str, shards: int, slots: int = SLOTS) -> SlotMap:
+    """The last version in the folder; where there is none, version 1, which is stored."""
+    if SlotMap.versions(spark, folder):
+        return SlotMap.load(spark, folder)
+    made = SlotMap.first(shards, slots)
+    made.save(spark, folder)
+    return made
+
 
 def records(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot, cell) of every record."""
-    hashed = F.xxhash64(doc_id, text)
-    return docs.select(
+    """(doc_id, size, text_crc32, serial, virtual_slot, cell) of every record."""
+    rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.pmod(hashed, F.lit(slots)).cast("int").alias("virtual_slot"),
-        F.pmod(F.shiftrightunsigned(hashed, 32), F.lit(CELLS)).cast("int").alias("cell"),
+        F.xxhash64(doc_id, text).alias("h"),
+        F.monotonically_increasing_id().alias("serial"),
+    )
+    rows = checkpoint(rows)  # some 40 bytes a row; from here on a row keeps its serial number
+    often = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(True).alias("often"))
+    key = F.when(F.col("often"), F.xxhash64("h", "serial")).otherwise(F.col("h"))
+    return (
+        rows.join(often, "h", "left")
+        .withColumn("h", key)
+        .select("doc_id", "size", "text_crc32", "serial", F.pmod("h", F.lit(slots)).cast("int").alias("virtual_slot"), F.pmod(F.shiftrightunsigned("h", 32), F.lit(CELLS)).cast("int").alias("cell"))
     )
 
 
@@ -114,15 +146,19 @@ def place(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str =
     """A row for each record: doc_id, size, text_crc32, law, shard, slot (its place in the shard,
     gapless from 0), grown_shard (null under this law), virtual_slot and map_version.
 
-    `start` is the map in force (version 1 if none); the map made from the sizes is stored in
-    `folder` if one is given."""
-    rows = records(docs, doc_id, text, slots)
+    `start` is the map to edit; else the one in force in `folder`, else version 1.  An edited map
+    is stored in `folder` if one is given."""
+    spark = docs.sparkSession
+    start = start or (in_force(spark, folder, shards, slots) if folder else SlotMap.first(shards, slots))
+    rows = checkpoint(records(docs, doc_id, text, slots))
     cells = rows.groupBy("virtual_slot", "cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     counted = cells.toPandas().sort_values(["virtual_slot", "cell"])  # slots * CELLS rows at most
     size = np.bincount(counted.virtual_slot.to_numpy(np.int64), counted.bytes.to_numpy(np.int64), slots).astype(np.int64)
-    made = (start or SlotMap.first(shards, slots)).rebalanced(size, shards)
-    if folder:
-        made.save(docs.sparkSession, folder)
+    made = start.rebalanced(size, shards)
+    if made.shard == start.shard and made.shards == start.shards:
+        made = start
+    elif folder:
+        made.save(spark, folder)
     shard = np.array(made.shard, np.int64)
     before = np.zeros(slots * CELLS, np.int64)
     n = np.zeros(slots * CELLS, np.int64)
@@ -132,9 +168,8 @@ def place(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str =
     of = np.repeat(shard, CELLS)[order]
     begin = np.searchsorted(of, np.arange(shards))
     before[order] = sums - sums[np.minimum(begin[of], len(sums) - 1)]
-    spark = docs.sparkSession
     table = F.broadcast(spark.createDataFrame([(k // CELLS, k % CELLS, int(shard[k // CELLS]), int(before[k])) for k in np.flatnonzero(n).tolist()], "virtual_slot int, cell int, shard int, before long"))
-    nth = F.row_number().over(Window.partitionBy("virtual_slot", "cell").orderBy("doc_id", "text_crc32", "size")) - 1
+    nth = F.row_number().over(Window.partitionBy("virtual_slot", "cell").orderBy("doc_id", "text_crc32", "size", "serial")) - 1
     return (
         rows.withColumn("nth", nth)
         .join(table, ["virtual_slot", "cell"])
