@@ -26,8 +26,9 @@ miss is found by an exact prefix filter: of two texts of that similarity, each h
 in common with the other among the first fifth (`prefix`) of its own shingles in any order
 that is the same for all texts.  Here that is by hash, with shingles that a sample shows to be
 common last.  Texts of one coarse group have been compared and needn't meet again; of the
-others, pairs whose prefixes share fewer shingles than that similarity implies are dropped, and
-the rest compared by all their shingle hashes (32 bits each, of texts of any length).
+others, pairs are dropped whose parities (bits of all shingles, `parities`) tell that they lack
+too much of each other, then those whose prefixes share fewer shingles than the similarity
+implies, and the rest are compared by all their shingle hashes (32 bits each, of texts of any length).
 
 Equal texts are brought together first, on the map side where they can be, so all that comes
 after has a row a distinct text; the texts themselves are read once for that and hashed once.
@@ -64,8 +65,11 @@ HOT = 256
 BLOCK = 512
 #: Of `deduplicate`: the similarity that counts, bits that word fingerprints may differ in, texts of a block and bytes of their shingle hashes.
 SIMILARITY, WORD_DISTANCE, TEXTS, BYTES = 0.8, 8, 1024, 4 << 20
-#: Texts sampled for common shingles, texts of the sample that make one common, most common ones kept; they only change the cost.
-SAMPLE, COMMON, KEPT = 5000, 3, 200_000
+#: For common shingles: of how many texts one is sampled (and texts sampled at least), texts of the
+#: sample that make one common, most common ones kept; they only change the cost.
+SHARE, SAMPLE, COMMON, KEPT = 20, 5000, 3, 500_000
+#: Bits of a text's parities.
+BITS = 512
 #: Text bytes and pairs that one step holds at once.
 PIECE, PAIRED = 1 << 19, 1 << 17
 
@@ -251,15 +255,23 @@ def shingle_hashes(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(of), np.concatenate(values)
 
 
-def sketches(words: Words, shingle: int) -> tuple[pa.Array, np.ndarray]:
+def sketches(words: Words, shingle: int) -> tuple[pa.Array, np.ndarray, pa.Array]:
     """Each text's distinct hashes of word shingles, ascending, as little-endian 32-bit numbers,
-    and how many these are."""
+    how many these are, and their parities."""
     n = len(words.n)
     of, values = shingle_hashes(words, shingle)
     of, values = _distinct(of, values >> np.uint64(32))
     ends = 4 * np.searchsorted(of, np.arange(n + 1))
     made = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values.astype("<u4").tobytes())])
-    return made, np.diff(ends) // 4
+    return made, np.diff(ends) // 4, parities(of, values, n)
+
+
+def parities(of: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """Of each of `n` texts BITS bits: whether an odd number of its distinct shingles fall on each.
+    Two texts' bits differ in no more places than there are shingles that only one of them has."""
+    odd = np.bincount(of * BITS + (values % np.uint64(BITS)).astype(np.int64), minlength=n * BITS).reshape(n, BITS) & 1
+    packed = np.packbits(odd.astype(np.uint8), axis=1)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * (BITS // 8)).tobytes()), pa.py_buffer(packed.tobytes())])
 
 
 def _distinct(text: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,7 +285,8 @@ def _distinct(text: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def described(docs: DataFrame, common: np.ndarray, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """A row a distinct text: th (its hash), id (the least, as (is it null, the id)), fp (of its
-    distinct words), n (distinct shingles), sketch (their hashes), prefix (keys, see `prefix`)."""
+    distinct words), n (distinct shingles), sketch (their hashes), odd (their parities), prefix
+    (keys, see `prefix`)."""
     kind = docs.schema[doc_id].dataType.simpleString()
     id_kind = f"struct<none:boolean,id:{kind}>"
     own = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))
@@ -284,11 +297,11 @@ def described(docs: DataFrame, common: np.ndarray, doc_id: str = "doc_id", text:
             words = Words(column)
             of, key, _ = prefix(words, shingle, common)
             edges = np.searchsorted(of, np.arange(len(column) + 1)).astype(np.int32)
-            sketch, n = sketches(words, shingle)
+            sketch, n, odd = sketches(words, shingle)
             lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(key))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(word_fingerprints(words)), pa.array(n), sketch, lists], ["th", "id", "fp", "n", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(word_fingerprints(words)), pa.array(n), sketch, odd, lists], ["th", "id", "fp", "n", "sketch", "odd", "prefix"])
 
-    return texts.mapInArrow(released(run), f"th long, id {id_kind}, fp long, n long, sketch binary, prefix array<bigint>")
+    return texts.mapInArrow(released(run), f"th long, id {id_kind}, fp long, n long, sketch binary, odd binary, prefix array<bigint>")
 
 
 def _all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,14 +448,14 @@ def prefix(words: Words, shingle: int, common: np.ndarray, similarity: float = S
 
 
 def common_shingles(docs: DataFrame, text: str = "text", shingle: int = 5) -> np.ndarray:
-    """Keys of shingles, sorted, that several of about SAMPLE texts have."""
+    """Keys of shingles, sorted, that several of a sample of the texts have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, column in chunks(batches, "text", PIECE):
             of, key = shingle_hashes(Words(column), shingle)
             yield pa.RecordBatch.from_arrays([pa.array(_distinct(of, key >> np.uint64(1))[1].view(np.int64))], ["key"])
 
-    share = max(1, docs.count() // SAMPLE)
+    share = max(1, min(SHARE, docs.count() // SAMPLE))
     some = docs.where(F.pmod(F.xxhash64(text), F.lit(share)) == 0).select(F.col(text).alias("text")).distinct()
     often = some.mapInArrow(released(run), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     return np.sort(often.orderBy(F.desc("n"), "key").limit(KEPT).select("key").toArrow()["key"].to_numpy()).view(np.uint64)
@@ -472,13 +485,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, na, nb): the pairs of members of each row (i, j, members) that are of different
-    groups, of sizes that allow the similarity and, if i and j differ, of different blocks."""
+    groups, of sizes and parities that allow the similarity and, if i and j differ, of different
+    blocks."""
     for batch in batches:
         members = batch.column(2)
         flat, offsets = members.flatten(), members.offsets.to_numpy().astype(np.int64)
         th, n, root, x = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("th", "n", "root", "x"))
         many = np.diff(offsets)
         end, inner = np.repeat(offsets[1:] - offsets[0], many), np.repeat(np.equal(*(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))), many)
+        odd = np.frombuffer(b"".join(flat.field("odd").to_pylist()), np.uint64).reshape(len(th), BITS // 64)
         after = np.cumsum(end - np.arange(len(th)) - 1)
         at = 0
         while at < len(th):
@@ -488,6 +503,10 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
             fit = (root[p] != root[q]) & (inner[p] | (x[p] != x[q])) & (np.minimum(n[p], n[q]) >= SIMILARITY * np.maximum(n[p], n[q]) - 1e-6)
             p, q = p[fit], q[fit]
+            # What each has alone is at least the bits that differ, and at most this of similar texts.
+            alone = n[p] + n[q] - 2 * np.ceil((n[p] + n[q]) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6)
+            fit = np.bitwise_count(odd[p] ^ odd[q]).sum(1, dtype=np.int64) <= alone
+            p, q = p[fit], q[fit]
             swap = th[p] > th[q]
             p, q = np.where(swap, q, p), np.where(swap, p, q)
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (th[p], th[q], n[p], n[q])], ["a", "b", "na", "nb"])
@@ -499,11 +518,11 @@ def candidates(texts: DataFrame, groups: DataFrame) -> DataFrame:
     schema = "key long, th long, n long"
     filed = texts.select(F.explode("prefix").alias("key"), "th", "n").repartition("key").sortWithinPartitions("key", "th")
     shared = checkpoint(filed.mapInArrow(released(_shared), schema))
-    roots = texts.select("th", "fp").join(groups.select("fp", "root"), "fp").select("th", "root")
+    roots = texts.select("th", "fp", "odd").join(groups.select("fp", "root"), "fp").select("th", "root", "odd")
     known = shared.join(roots, "th")
     mixed = known.groupBy("key").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "k")
     dealt = known.join(mixed, "key").withColumn("x", F.pmod(F.xxhash64("th"), "k"))
-    meets = dealt.withColumn("y", F.explode(F.expr("sequence(0, k - 1)"))).select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.struct("th", "n", "root", "x").alias("one"))
+    meets = dealt.withColumn("y", F.explode(F.expr("sequence(0, k - 1)"))).select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.struct("th", "n", "root", "x", "odd").alias("one"))
     pairs = meets.groupBy("key", "i", "j").agg(F.collect_list("one").alias("members")).select("i", "j", "members").mapInArrow(released(_crossed), "a long, b long, na long, nb long")
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("na").alias("na"), F.min("nb").alias("nb"))
     # Of the text whose prefix ends first, all but those that similar texts may lack are in the other's prefix too.
