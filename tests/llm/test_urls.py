@@ -30,13 +30,13 @@ def pages():
     return [(i, u, "clash") for i, u in enumerate(found)] + [(7, found[7], "clash"), (None, "http://x.bad.test/", "c")]
 
 
-def test_matches_plain_python_on_either_way(spark):
+def test_matches_plain_python_in_one_part_and_in_many(spark):
     rng = random.Random(4)
     listed = {"bad.test", *(f"h{rng.randrange(3000)}.fine.test" for _ in range(300)), *(f"h{i}.absent.test" for i in range(50))}
     rows = pages()
     want = sorted(((p, *slow(u, listed)) for p, u, _ in rows), key=str)
     frame = spark.createDataFrame(rows, PAGES)
-    for limit in (urls.LIMIT, 10):
+    for limit in (urls.LIMIT, 90):
         got = urls.judge(frame, URL_RULES, listed, limit=limit)
         assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
         assert sorted((tuple(r) for r in got.collect()), key=str) == want
@@ -51,6 +51,21 @@ def test_the_cascade_is_exact_over_its_universe(spark):
     assert wrong.count() == 0
 
 
+def test_hosts_with_line_feeds_and_other_odd_characters(spark):
+    odd = ["\n", '"', "\\", ",", "\t", "é", "'", "\u2028"]
+    hosts = [f"h{i}{odd[i % len(odd)]}x{i}.test" for i in range(20_000)]
+    listed = {h for h in hosts[::50]} | {f"l{i}.other" for i in range(300)}
+    frame = spark.createDataFrame([(i, f"http://{h}/p", "") for i, h in enumerate(hosts)], PAGES)
+    got = {r.page_id: (r.host, r.verdict) for r in urls.judge(frame, [], listed).collect()}
+    assert got == {i: (h, "block" if h in listed else "allow") for i, h in enumerate(hosts)}
+
+
+def test_the_list_may_be_a_table(spark):
+    frame = spark.createDataFrame(pages()[:30], PAGES)
+    table = spark.createDataFrame([("bad.test",), ("bad.test",), ("",), (None,)], "key string")
+    assert sorted(map(str, urls.judge(frame, URL_RULES, table).collect())) == sorted(map(str, urls.judge(frame, URL_RULES, ["bad.test"]).collect()))
+
+
 def test_no_python_in_the_plan(spark):
     plan = urls.judge(spark.createDataFrame(pages()[:9], PAGES), URL_RULES, ["bad.test"])._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|SortMergeJoin|BroadcastHashJoin", plan)

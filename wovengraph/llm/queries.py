@@ -24,8 +24,8 @@ URL_RULES = (
     urls.Rule("example.net", "/de/8", "block"),
     urls.Rule("org", "/es/", "block"),
 )
-#: Domains listed for blocking, with their subdomains.
-URL_LIST = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
+#: Domains listed for blocking, with their subdomains: junk names and their numbered mirrors.
+URL_LIST = tuple(f"{name}{mirror}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for mirror in ("", *range(200)) for top in ("com", "net", "org"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

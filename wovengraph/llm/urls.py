@@ -7,8 +7,9 @@ level that doesn't hold a key tells whether it is listed, exactly, for every key
 the cascade was built over, and no join is needed.  Level 0 is so tight that about as many
 unlisted keys pass as are listed, so the size follows the list and the logarithm of the corpus.
 
-The levels travel as array literals of a checked size: past LIMIT listed keys a semi join
-with the list takes their place.
+The levels travel as array literals of a bounded size: a list of more than LIMIT keys is dealt
+into parts by hash, each with a cascade of its own over the whole corpus, and a host is listed
+if one of them says so, in a pass over the rows for each part.
 
 Rows: a null url, or one without `://`, has the empty host and path and no key.  Repeated urls
 are judged each.  Urls of any length are read whole; of a host only as many labels as the
@@ -17,15 +18,19 @@ nothing; only the named columns are read."""
 
 from __future__ import annotations
 
+import json
 import math
 import string
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Listed keys that the cascade is built for, at most (some 40 bits each).
+from wovengraph.llm.common import checkpoint
+
+#: Listed keys that one cascade is built for, at most (some 40 bits each).
 LIMIT = 1_000_000
 
 
@@ -104,25 +109,17 @@ def cascade(listed: DataFrame, corpus: DataFrame) -> list[Level]:
     levels = [Level.over(listed, 0, min(0.25, n / max(universe, 1)))]
     mistaken = corpus.where(levels[0].holds(F.col("key"))).distinct().join(listed, "key", "left_anti")
     # From here on both sides are about as small as the list.
-    ours, theirs = listed, _kept(mistaken)
+    ours, theirs = listed, checkpoint(mistaken)
     while theirs.count():
         levels.append(Level.over(theirs, len(levels), 0.25))
-        ours, theirs = theirs, _kept(ours.where(levels[-1].holds(F.col("key"))))
+        ours, theirs = theirs, checkpoint(ours.where(levels[-1].holds(F.col("key"))))
     return levels
 
 
-def _kept(keys: DataFrame) -> DataFrame:
-    """A small set of keys (as many as are listed, about) as a literal table of its own."""
-    found = [r.key for r in keys.select("key").collect()]
-    return key_table(keys.sparkSession, found)
-
-
 def key_table(spark: SparkSession, keys: Iterable[str]) -> DataFrame:
-    """Distinct keys in column `key`."""
-    keys = sorted(set(keys))
-    if not keys:
-        return spark.range(0).select(F.lit("").alias("key"))
-    return spark.range(1).select(F.explode(F.split(F.lit("\n".join(keys)), "\n")).alias("key"))
+    """Distinct keys, of any characters, in column `key`."""
+    told = json.dumps(sorted(set(keys)), ensure_ascii=False)
+    return spark.range(1).select(F.explode(F.from_json(F.lit(told), "array<string>")).alias("key"))
 
 
 def member(levels: list[Level], key: Column) -> Column:
@@ -133,25 +130,28 @@ def member(levels: list[Level], key: Column) -> Column:
     return answer
 
 
-def judge(pages: DataFrame, rules: Iterable[Rule], listed: Iterable[str], page_id: str = "page_id", url: str = "url", limit: int = LIMIT) -> DataFrame:
+def judge(pages: DataFrame, rules: Iterable[Rule], listed: Iterable[str] | DataFrame, page_id: str = "page_id", url: str = "url", limit: int = LIMIT) -> DataFrame:
     """A row for each page: page_id, host, path, rule (the longest that fits, or null), verdict
-    (the rule's; else block where the host or a parent domain is listed, allow elsewhere)."""
+    (the rule's; else block where the host or a parent domain is listed, allow elsewhere).
+
+    `listed` are domains, or a table with them in column `key`."""
     spark = pages.sparkSession
     host, path = host_and_path(url)
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    keys = sorted({k for k in listed if k})
-    labels = max((k.count(".") + 1 for k in keys), default=1)
-    table = key_table(spark, keys)
+    table = listed if isinstance(listed, DataFrame) else key_table(spark, listed)
+    table = checkpoint(table.where("key <> ''").select("key").distinct())
+    n, labels = table.agg(F.count("*"), F.coalesce(F.max(F.size(F.split("key", r"\.", -1))), F.lit(1))).collect()[0]
     host, path = F.col("host"), F.col("path")
     # Longest first, so the first that fits wins.
     ordered = sorted(rules, key=lambda r: (-len(r.text), r.text))
     rule = F.coalesce(*(F.when(r.fits(host, path), F.lit(r.text)) for r in ordered), F.lit(None).cast("string"))
     said = F.coalesce(*(F.when(F.col("rule") == r.text, F.lit(r.verdict)) for r in ordered), F.lit(None).cast("string"))
-    if len(keys) <= limit:
-        levels = cascade(table, rows.select(F.explode(domains(host, labels)).alias("key")))
-        blocked = F.exists(domains(host, labels), lambda key: member(levels, key)) if levels else F.lit(False)
-        marked = rows.withColumn("blocked", blocked)
-    else:
-        hits = rows.select("host").distinct().select("host", F.explode(domains(host, labels)).alias("key")).join(table, "key", "left_semi").select("host").distinct()
-        marked = rows.join(hits.withColumn("blocked", F.lit(True)), "host", "left")
+    corpus = rows.select(F.explode(domains(host, labels)).alias("key"))
+    marked, parts = rows.withColumn("blocked", F.lit(False)), max(1, -(-n // limit))
+    for k in range(parts):
+        part = table.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k)
+        if levels := cascade(part, corpus):
+            marked = marked.withColumn("blocked", F.col("blocked") | F.exists(domains(host, labels), partial(member, levels)))
+        if k + 1 < parts:
+            marked = checkpoint(marked)
     return marked.withColumn("rule", rule).select("page_id", "host", "path", "rule", F.coalesce(said, F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
