@@ -18,7 +18,7 @@ from wovengraph.llm.merges import RankMerger
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("length", T.StringType())])
-ODD = ["<|endoftext|> a", "x<|startoftext|>y", "é ́a", "A　B\xa0c", "don't I'LL", "İı ΑΣ ΟΔΟΣ", "\x1c\x1fa\x85b c", "", "  ", "日本語テキスト", "😀👍🏽 x", "a\x00b", "ﬁ ①", "ÀÉß÷ ×a Ñandú, œuvre. Ÿ!", "é", "É", "a,b c,, ?", "x" * 3000 + " " + "ab" * 400, *(" ".join(swapped(1 << k)) for k in (10, 11, 12, 13))]
+ODD = ["<|endoftext|> a", "x<|startoftext|>y", "é ́a", "A　B\xa0c", "don't I'LL", "İı ΑΣ ΟΔΟΣ", "\x1c\x1fa\x85b c", "", "  ", "日本語テキスト", "😀👍🏽 x", "a\x00b", "ﬁ ①", "ÀÉß÷ ×a Ñandú, œuvre. Ÿ!", "é", "É", "a,b c,, ?", "x" * 3000 + " " + "ab" * 400, "".join(random.Random(3).choices("abcdeghilnorstuéßZ", k=4000)), *(" ".join(swapped(1 << k)) for k in (10, 11, 12, 13))]
 
 
 @pytest.fixture(scope="module")
@@ -35,14 +35,42 @@ def test_ids_are_the_librarys(library):
             assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
-def test_long_sequences_merge_like_short_ones():
+def slow_merge(symbols, rules):
+    """One merge at a time: of the lowest rank, the leftmost."""
+    symbols = list(symbols)
+    while found := min(((rules[p], k) for k, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in rules), default=None):
+        (_, made), k = found
+        symbols[k : k + 2] = [made]
+    return symbols
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_sequences_merge_as_one_pair_at_a_time(ordered):
     rng = np.random.default_rng(0)
-    left, right = np.divmod(rng.permutation(36)[:20], 6)
-    merger = RankMerger(left, right, np.arange(20), rng.integers(0, 6, 20))
-    flat, first = rng.integers(-1, 6, 900), np.arange(0, 901, 30)
-    out, edges = merger.merge(flat, first)
-    for k in range(30):
-        assert out[edges[k] : edges[k + 1]].tolist() == merger._one(flat[first[k] : first[k + 1]].tolist())
+    for _ in range(20):
+        if ordered:  # each pair makes a symbol of its own from older ones
+            rules = {}
+            for k in range(25):
+                rules.setdefault(tuple(int(x) for x in rng.integers(0, 3 + k, 2)), (len(rules), 3 + k))
+            rules = {p: (n, made) for p, (n, made) in rules.items() if made > max(p)}
+        else:
+            left, right = np.divmod(rng.permutation(36)[:20], 6)
+            rules = {(int(a), int(b)): (k, int(rng.integers(0, 6))) for k, (a, b) in enumerate(zip(left, right, strict=True))}
+        merger = RankMerger(*np.array([(a, b, r, m) for (a, b), (r, m) in rules.items()]).T)
+        assert merger._calm.all() or not ordered
+        sizes = rng.choice([0, 1, 2, 7, 30, 300], 40)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        flat = rng.integers(-1, 3 if ordered else 6, first[-1])
+        out, edges = merger.merge(flat, first)
+        for k in range(40):
+            assert out[edges[k] : edges[k + 1]].tolist() == slow_merge(flat[first[k] : first[k + 1]].tolist(), rules)
+
+
+def test_the_tokenizers_merge_all_places_at_once():
+    from wovengraph.llm import tokencount
+
+    assert packing.encoder(PATH)._merger._calm.all()
+    assert tokencount.counter(public_tokenizers.path("piece_bpe_32k.model"))._merger._calm.mean() > 0.7
 
 
 def test_nnls_meets_its_optimality_conditions():

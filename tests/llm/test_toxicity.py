@@ -60,6 +60,62 @@ def test_swaps_reduce_false_positives_on_neutral_mentions(spark):
     assert insulted.min() > 0.3
 
 
+def test_the_penalty_is_that_of_swapped_sentences():
+    """What the sparse swaps say of the score, against scoring texts with the words exchanged."""
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    docs, _ = corpus(200)
+    texts = [t for _, t, _ in docs] + ["Muslims and jews, muslims; christians", "Women mention a womanly muslim", "", "jews"]
+    hashes = np.unique(np.concatenate([h for _, h in toxicity.features(pa.array(texts + [t for g in toxicity.IDENTITY_TERMS for t in g]))]))
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(hashes, rng.normal(0, 0.3, len(hashes)), 0.1)
+
+    def logit(text):
+        p = model.score(pa.array([text]))[0]
+        return np.log(p / (1 - p))
+
+    def exchanged(text, term, to):
+        return re.sub(r"[A-Za-z\x80-\uffff]+", lambda m: to if m[0].lower() == term else m[0], text)
+
+    want = []
+    for text in texts:
+        words = {w.lower() for w in re.findall(r"[A-Za-z\x80-\uffff]+", text)}
+        for group in toxicity.IDENTITY_TERMS:
+            for k, term in enumerate(group):
+                if term in words:
+                    want += [logit(exchanged(text, term, to)) - logit(text) for to in (group[(k + 1) % len(group)], "")]
+    swaps = toxicity.Swaps(model, toxicity.IDENTITY_TERMS)
+    got = [(model.weights[f] * d).sum() for _, f, d in swaps.of(*model.present(pa.array(texts)))]
+    assert len(want) > 20 and np.allclose(sorted(got), sorted(want), atol=1e-6)
+
+
+def test_the_fit_minimises_loss_and_penalty():
+    """Against the loss written out over dense rows: no step from the solution lowers it."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = (rng.random((80, 12)) < 0.3).astype(float)
+    y = (x[:, 0] + x[:, 1] + rng.normal(0, 0.5, 80) > 0.6).astype(float)
+    d = rng.integers(-1, 2, (25, 12)) * (rng.random((25, 12)) < 0.3)
+    number, feature = np.nonzero(d)
+    kept = np.unique(number, return_inverse=True)[1]
+    dense = d[np.unique(number)]
+
+    def loss(w, b):
+        z = x @ w + b
+        return np.mean(np.log1p(np.exp(z)) - y * z) + 0.7 * np.mean((dense @ w) ** 2) + 0.01 * np.abs(w).sum()
+
+    w, b = toxicity.fit(*np.nonzero(x), y, 12, (kept, feature, d[number, feature].astype(float)), 0.7, 0.01, 20_000, 1e-9)
+    best = loss(w, b)
+    for _ in range(400):
+        step = rng.normal(0, 10.0 ** rng.integers(-4, 0), 13)
+        assert loss(w + step[:12], b + step[12]) >= best - 1e-9
+    assert np.abs(w).max() > 0.1
+
+
 def test_held_out_labels_are_not_learnt_from(spark):
     docs, labels = corpus(300)
     flipped = [(d, 1 - y if zlib.crc32(str(d).encode()) % 4 == 2 else y, q) for d, y, q in labels]

@@ -75,7 +75,8 @@ class Encoder:
         vocabulary = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         ids = [np.array([vocabulary[x] for x in side], np.int64) for side in (*zip(*pairs, strict=True), [a + b for a, b in pairs])]
-        self._merger = RankMerger(ids[0], ids[1], np.arange(len(pairs)), ids[2])
+        beside = [(vocabulary[a[-1]], vocabulary[b if b[1:] == "</w>" else b[0]]) for a, b in pairs]
+        self._merger = RankMerger(ids[0], ids[1], np.arange(len(pairs)), ids[2], np.array(beside, np.int64))
         symbols = _byte_symbols()
         self._inner = np.array([vocabulary[c] for c in symbols], np.int64)
         self._last = np.array([vocabulary[c + "</w>"] for c in symbols], np.int64)

@@ -6,8 +6,7 @@ which each is a byte token (checked too).  A worker's distinct pre-tokens are me
 batches held as ragged arrays (`merges`), the surviving symbols of each are counted (one for
 a piece, its UTF-8 bytes for an unknown character), and the counts are kept by hash.
 
-Rows: null and empty texts have no tokens.  Texts of any length are counted whole; a
-pre-token of many symbols merges through a queue.  Repeated rows are counted each.  Only the
+Rows: null and empty texts have no tokens.  Texts of any length are counted whole.  Repeated rows are counted each.  Only the
 named columns are read; an empty table gives an empty result."""
 
 from __future__ import annotations
@@ -53,7 +52,8 @@ class Counter:
                 self._cost[symbol[c]] = len(c.encode())
         _, order = np.unique([-s for s in pieces.values()], return_inverse=True)
         rows = [(symbol[p[:i]], symbol[p[i:]], int(k), symbol[p]) for p, k in zip(pieces, order, strict=True) for i in range(1, len(p)) if p[:i] in symbol and p[i:] in symbol]
-        self._merger = RankMerger(*np.array(rows, np.int64).T)
+        beside = {(symbol[a], symbol[b]) for p in pieces for a, b in zip(p, p[1:], strict=False)}
+        self._merger = RankMerger(*np.array(rows, np.int64).T, np.array(sorted(beside), np.int64))
         self._known = Lexicon()
 
     def _merged(self, words: bytes, chars: np.ndarray, spaces: np.ndarray) -> np.ndarray:

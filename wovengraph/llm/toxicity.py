@@ -3,9 +3,10 @@
 A text's features are its distinct words and word beginnings, lower-cased and hashed.  On a
 bounded, stratified sample of labelled texts the features that tell the classes apart best
 are chosen, and a sparse logistic model is fitted by proximal gradient steps.  For every
-labelled text that mentions an identity term, each term is swapped for another of its
-set and for a word that names no group, and the squared change of the score (on the logit scale) is a penalty of the fit, so that
-mentioning a group doesn't carry weight by itself, whatever the labels suggest.
+labelled text that mentions an identity term, each term is swapped, wherever it stands in the
+text, for another of its set and for a word that names no group, and the squared change of the
+whole text's score (on the logit scale) is a penalty of the fit, so that mentioning a group
+doesn't carry weight by itself, whatever the labels suggest.
 
 The sample's size is a parameter (POSITIVES and NEGATIVES rows); features are counted on the
 executors, and the driver holds the FEATURES chosen and the sample's rows over them.  The
@@ -13,8 +14,9 @@ offset is corrected for the share of each class that was sampled.  Scoring takes
 
 Rows: null and empty texts have no features and score as the offset alone.  Labels with a
 null id or null mark are left out; of repeated labels the highest counts.  Repeated documents
-are scored each on their own (and weigh in the sample as often).  An empty table of labels gives the score 0
-to every text; only the named columns are read."""
+are scored each on their own; for fitting one text of each id counts, the least.  Labels that
+are missing or of one class alone give a score of next to nothing (4e-18) to every text.  Very
+long texts are read whole; only the named columns are read."""
 
 from __future__ import annotations
 
@@ -87,19 +89,19 @@ class Model:
     weights: np.ndarray
     offset: float
 
-    def present(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(text, index of a chosen feature), each pair once."""
+    def present(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, index of a chosen feature), each pair once and in order, and how often it occurs."""
         pairs = [np.zeros(0, np.int64)]
         n = max(1, len(self.hashes))
         for text, h in features(column) if len(self.hashes) else ():
             at = np.minimum(np.searchsorted(self.hashes, h), n - 1)
             hit = self.hashes[at] == h
             pairs.append(text[hit] * n + at[hit])
-        found = np.unique(np.concatenate(pairs))
-        return found // n, found % n
+        found, often = np.unique(np.concatenate(pairs), return_counts=True)
+        return found // n, found % n, often
 
     def score(self, column: pa.Array) -> np.ndarray:
-        text, feature = self.present(column)
+        text, feature, _ = self.present(column)
         z = np.bincount(text, self.weights[feature], len(column)) + self.offset
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -115,7 +117,7 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, mark: str
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("labelled"), "labelled").limit(most) for y, most in ((1, positives), (0, negatives))]
     few = F.broadcast(drawn[0].union(drawn[1]))  # positives + negatives rows at most
-    rows = docs.join(few, F.col(doc_id) == F.col("labelled")).select(F.col(text).alias("text"), "y")
+    rows = docs.join(few, F.col(doc_id) == F.col("labelled")).groupBy("labelled").agg(F.min(text).alias("text"), F.first("y").alias("y")).select("text", "y")
     shares = [min(1.0, most / counts[y]) if counts.get(y) else 1.0 for y, most in ((1, positives), (0, negatives))]
     return rows, float(np.log(shares[1]) - np.log(shares[0]))
 
@@ -145,12 +147,14 @@ def choose(rows: DataFrame, most: int = FEATURES) -> np.ndarray:
     return np.sort(np.array([r.h for r in best], np.int64).view(np.uint64))
 
 
-def fit(row: np.ndarray, column: np.ndarray, y: np.ndarray, swaps: np.ndarray, times: np.ndarray, counterfactual: float = COUNTERFACTUAL, sparsity: float = SPARSITY, steps: int = 2000, enough: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and offset that minimise the logistic loss over texts with marks `y`, where text
-    row[i] has feature column[i]; plus `counterfactual` times the mean squared change of the
-    logit over the `swaps` (rows of feature changes, each made `times` times); plus the l1 norm."""
-    n, k = len(y), swaps.shape[1]
-    share = times / max(1.0, times.sum())
+def fit(row: np.ndarray, column: np.ndarray, y: np.ndarray, k: int, swaps: tuple[np.ndarray, np.ndarray, np.ndarray], counterfactual: float = COUNTERFACTUAL, sparsity: float = SPARSITY, steps: int = 2000, enough: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights of `k` features and the offset that minimise the logistic loss over texts with marks
+    `y`, where text row[i] has feature column[i]; plus `counterfactual` times the mean squared change
+    of the logit over the `swaps`; plus the l1 norm.  A swap makes feature swaps[1][i] come (1)
+    or go (-1), as swaps[2][i] says, in swap number swaps[0][i]."""
+    n = len(y)
+    number, feature, change = swaps
+    made = int(number.max()) + 1 if len(number) else 1
 
     def scores(w: np.ndarray) -> np.ndarray:
         return np.bincount(row, w[column], n) + w[k]
@@ -159,7 +163,8 @@ def fit(row: np.ndarray, column: np.ndarray, y: np.ndarray, swaps: np.ndarray, t
         return np.append(np.bincount(column, r[row], k), r.sum()) / n
 
     def pull(w: np.ndarray) -> np.ndarray:
-        return np.append(2 * counterfactual * (swaps.T @ (share * (swaps @ w[:k]))), 0)
+        moved = np.bincount(number, change * w[feature], made)
+        return np.append(2 * counterfactual / made * np.bincount(feature, change * moved[number], k), 0)
 
     v = np.ones(k + 1)  # the largest curvature, by power iteration
     for _ in range(30):
@@ -181,14 +186,33 @@ def fit(row: np.ndarray, column: np.ndarray, y: np.ndarray, swaps: np.ndarray, t
     return w[:-1], float(w[-1])
 
 
-def _terms(model: Model, groups: tuple[tuple[str, ...], ...]) -> tuple[np.ndarray, list[tuple[int, ...]]]:
-    """Each term's features among those chosen (a row a term), and the terms of each group."""
-    words = [t for g in groups for t in g]
-    rows = np.zeros((len(words), len(model.hashes)), np.float32)
-    text, feature = model.present(pa.array(words, pa.string()))
-    rows[text, feature] = 1
-    edges = np.cumsum([0, *map(len, groups)])
-    return rows, [tuple(range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
+class Swaps:
+    """The swaps of identity terms in texts: each term of a text for the next of its set, and for a
+    word that names none (else a term that no label mentions could take on the others' weight)."""
+
+    def __init__(self, model: Model, groups: tuple[tuple[str, ...], ...]) -> None:
+        self.model = model
+        self.words = [t for g in groups for t in g]
+        text, feature, _ = model.present(pa.array(self.words, pa.string()))
+        self.own = [feature[text == k] for k in range(len(self.words))]
+        edges = np.cumsum([0, *map(len, groups)])
+        self.next = [a + (k + 1 - a) % (b - a) for a, b in zip(edges, edges[1:], strict=False) for k in range(a, b)]
+        self.term = np.full(len(model.hashes), -1, np.int64)  # of each feature, the term that is that word
+        self.term[np.searchsorted(model.hashes, word_hashes(self.words))] = np.arange(len(self.words))
+
+    def of(self, text: np.ndarray, feature: np.ndarray, often: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(text, features that come or go, 1 or -1) of each swap, from what `Model.present` gives."""
+        n = len(self.model.hashes)
+        keys = text * n + feature
+        for at in np.flatnonzero(self.term[feature] >= 0).tolist():
+            t, of, times = int(self.term[feature[at]]), int(text[at]), int(often[at])
+            for to in (self.own[self.next[t]], np.zeros(0, np.int64)):
+                moved = np.union1d(self.own[t], to)
+                k = np.minimum(np.searchsorted(keys, of * n + moved), len(keys) - 1)
+                count = np.where(keys[k] == of * n + moved, often[k], 0)
+                after = (count - times * np.isin(moved, self.own[t]) > 0) | np.isin(moved, to)
+                change = after.astype(np.int64) - (count > 0)
+                yield of, moved[change != 0], change[change != 0]
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -209,24 +233,28 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return model
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        swaps = Swaps(model, groups)
         for batch, column in chunks(batches, "text"):
-            of, feature = model.present(column)
+            of, feature, often = model.present(column)
             edges = np.searchsorted(of, np.arange(len(column) + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(feature.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("y")), lists], ["y", "f"])
-
-    got = rows.mapInArrow(over, "y int, f array<int>").toArrow()
+            own: list[list[dict]] = [[] for _ in range(len(column))]
+            for k, moved, change in swaps.of(of, feature, often):
+                own[k].append({"f": moved.tolist(), "d": change.tolist()})
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("y")), lists, pa.array(own, kind)], ["y", "f", "swaps"])
+
+    kind = pa.list_(pa.struct([("f", pa.list_(pa.int32())), ("d", pa.list_(pa.int32()))]))
+    # A row for each sampled label: positives + negatives at most.
+    got = rows.mapInArrow(over, "y int, f array<int>, swaps array<struct<f:array<int>,d:array<int>>>").toArrow()
     y = got["y"].to_numpy().astype(float)
     lists = got["f"].combine_chunks()
     column = lists.flatten().to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
-    # Swap each identity term found for the next of its group, and for a word that names none
-    # (else a term that no label mentions could simply take on the weight of the others).
-    by_term, sets = _terms(model, groups)
-    seen = np.bincount(column, minlength=len(chosen))[np.searchsorted(chosen, names)]
-    pairs = [(to - by_term[t], seen[t]) for ids in sets for i, t in enumerate(ids) for to in (by_term[ids[(i + 1) % len(ids)]], 0) if seen[t]]
-    swaps, times = np.array([d for d, _ in pairs]).reshape(-1, len(chosen)), np.array([m for _, m in pairs], float)
-    w, b = fit(row, column, y, swaps, times, counterfactual)
+    made = got["swaps"].combine_chunks().flatten()
+    changed = made.field("f")
+    number = np.repeat(np.arange(len(made)), changed.value_lengths().to_numpy().astype(np.int64))
+    swaps = (number, changed.flatten().to_numpy().astype(np.int64), made.field("d").flatten().to_numpy().astype(float))
+    w, b = fit(row, column, y, len(chosen), swaps, counterfactual)
     return Model(chosen, w, b + correction)
 
 
