@@ -6,6 +6,7 @@ checkpoints, and does only aggregates with map-side combination and equi joins i
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
@@ -14,11 +15,14 @@ from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's spark.checkpoint.dir; in one of our own only where that is unset."""
+    """A checkpoint in the cluster's spark.checkpoint.dir; in a folder of our own only where that is
+    unset and all runs on this machine."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="wovengraph-")
             atexit.register(shutil.rmtree, folder, True)
         spark.sparkContext.setCheckpointDir(folder)
@@ -119,6 +123,6 @@ def contained_symbols(contains: DataFrame, symbols: DataFrame, path: str) -> Dat
         fresh = checkpoint(step if seen is None else step.join(seen, "id", "left_anti"))
         if fresh.isEmpty():
             break
-        seen = fresh if seen is None else seen.unionByName(fresh)
+        seen = fresh if seen is None else checkpoint(seen.unionByName(fresh))
         frontier = fresh.select(F.col("id").alias("src"))
     return symbols.join(fresh if seen is None else seen, "id", "left_semi").select("id", "name", "kind", "start_line")

@@ -81,6 +81,20 @@ def numbered(few: DataFrame, *order: F.Column) -> DataFrame:
     return few.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), *few.columns)
 
 
+def numbered_whole(ordered: DataFrame) -> DataFrame:
+    """All rows of an ordered table numbered from 1: each partition numbers its own rows, after as
+    many as the partitions before it have (a row a partition reaches the driver)."""
+    rows = graph.checkpoint(ordered.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = sorted((r.part, r.n) for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before, found = 0, []
+    for k, n in sizes:
+        found.append((k, before))
+        before += n
+    base = ordered.sparkSession.createDataFrame(found, "__part long, __before long")
+    return rows.withColumn("__part", part).join(F.broadcast(base), "__part").select((F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int").alias("rank"), *ordered.columns)
+
+
 def uncalled(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """Symbols without an incoming call; a call of itself counts as one."""
     return symbols.join(calls.select(F.col("dst").alias("id")), "id", "left_anti")
@@ -108,7 +122,7 @@ def impact_report(calls: DataFrame, symbols: DataFrame, scores: DataFrame, targe
     rows = reached.join(symbols, "id").join(scores, "id", "left").select("id", "name", "kind", symbol_file(F.col("id")).alias("file"), "depth", "pagerank")
     order = (F.desc_nulls_last("pagerank"), F.col("id").asc())
     rows = rows.orderBy(*order)
-    return numbered(rows if top is None else rows.limit(top), *order)
+    return numbered_whole(rows) if top is None else numbered(rows.limit(top), *order)
 
 
 def impact_target(symbols: DataFrame, target: str) -> tuple[str, int]:

@@ -101,18 +101,38 @@ def tier_import(asked: DataFrame, symbols: DataFrame, imports: DataFrame) -> Dat
 
 def tier_global(asked: DataFrame, symbols: DataFrame) -> DataFrame:
     """Tier 4: all functions and methods of that name, or else all symbols of it."""
-    called = F.col("kind").isin("Function", "Method")
-    some = symbols.groupBy("name").agg(F.max(called).alias("any_called"))
-    pool = symbols.join(some, "name").where(called | ~F.col("any_called")).select("name", F.col("id").alias("dst")).distinct()
-    return asked.join(pool, "name").select(*_CALL, "dst")
+    return asked.join(_pool(symbols), "name").select(*_CALL, "dst")
 
 
 def resolve_calls(symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """(src, dst, call_site_line, tier): each call by the first tier that finds something."""
-    left, found = raw_calls(symbols), None
-    for tier, find in ((1, tier_method), (2, tier_file), (3, lambda a, s: tier_import(a, s, imports)), (4, tier_global)):
-        hits = find(left, symbols).withColumn("tier", F.lit(tier))
-        found = hits if found is None else found.unionByName(hits)
-        if tier < 4:
-            left = left.join(hits.select(*_CALL).distinct(), [*_CALL], "left_anti")
-    return found.groupBy("src", "dst", F.col("line").alias("call_site_line")).agg(F.min("tier").alias("tier"))
+    """(src, dst, call_site_line, tier): each call by the first tier that finds something.
+
+    Tiers 1 to 3 find one symbol at most for a sibling's id or a (file, name), so each is one
+    left join with a table of those, computed once; only calls that none of them resolves
+    look for their name anywhere (the rest carry keys that nothing has, spread evenly)."""
+    file = symbol_file(F.col("id"))
+    method = F.col("is_method") & (F.size(F.split("src", "::")) >= 3)
+    sibling = F.concat(F.regexp_replace("src", r"::(?:(?!::).)*\z", ""), F.lit("::"), F.col("name"))
+    asked = raw_calls(symbols).withColumn("file", symbol_file(F.col("src"))).withColumn("sibling", F.when(method, sibling).otherwise(_nobody()))
+    ids = symbols.select(F.col("id").alias("sibling"), F.col("id").alias("dst1")).distinct()
+    first = symbols.groupBy(file.alias("file"), "name").agg(F.min("id").alias("dst2"))
+    links = imports.select(F.col("src").alias("file"), F.col("dst").alias("imported")).distinct()
+    there = links.join(first.withColumnsRenamed({"file": "imported", "dst2": "dst3"}), "imported").groupBy("file", "name").agg(F.min_by("dst3", "imported").alias("dst3"))
+    tiers = asked.join(ids, "sibling", "left").join(first, ["file", "name"], "left").join(there, ["file", "name"], "left")
+    one = F.coalesce("dst1", "dst2", "dst3")
+    tier = F.when(F.col("dst1").isNotNull(), 1).when(F.col("dst2").isNotNull(), 2).when(F.col("dst3").isNotNull(), 3).otherwise(4)
+    told = tiers.select("src", "line", one.alias("one"), tier.alias("tier"), F.when(one.isNull(), F.col("name")).otherwise(_nobody()).alias("name"))
+    found = told.join(_pool(symbols).withColumnRenamed("dst", "any"), "name", "left").withColumn("dst", F.coalesce("one", "any"))
+    return found.where("dst is not null").groupBy("src", "dst", F.col("line").alias("call_site_line")).agg(F.min("tier").alias("tier"))
+
+
+def _nobody() -> Column:
+    """A key that no symbol has, one of many, so that rows without a key don't meet in one task."""
+    return F.concat(F.lit("\0"), F.pmod(F.xxhash64("src", "name", "line"), F.lit(100_000)).cast("string"))
+
+
+def _pool(symbols: DataFrame) -> DataFrame:
+    """(name, dst): of each name all functions and methods, or else all symbols."""
+    called = F.col("kind").isin("Function", "Method")
+    some = symbols.groupBy("name").agg(F.max(called).alias("any_called"))
+    return symbols.join(some, "name").where(called | ~F.col("any_called")).select("name", F.col("id").alias("dst")).distinct()

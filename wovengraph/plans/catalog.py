@@ -355,9 +355,10 @@ def _(m):
     return edges.out_degree(m.calls)
 
 
-@query("dangling_mass", sql("calls", "scores") + " SELECT round(sum(pagerank), 6) AS dangling_mass FROM scores WHERE id NOT IN (SELECT src FROM calls)")
+# Over the calls turned round: every symbol calls something, but not every one is something's last call.
+@query("dangling_mass", sql("last_calls", "scores") + " SELECT round(sum(pagerank), 6) AS dangling_mass FROM scores WHERE id NOT IN (SELECT dst FROM last_calls)")
 def _(m):
-    return graph.dangling_mass(m.scores, m.calls).select(F.round("dangling_mass", 6).alias("dangling_mass"))
+    return graph.dangling_mass(m.scores, m.last_calls.select(F.col("dst").alias("src"))).select(F.round("dangling_mass", 6).alias("dangling_mass"))
 
 
 @query("l1_delta", sql("scores") + " SELECT round(sum(abs(pagerank * 1.25 - pagerank)), 6) AS l1_delta FROM scores")
@@ -370,23 +371,23 @@ def _(m):
     return graph.score_stats(m.scores).select(*(F.round(c, p).alias(c) for c, p in (("min_score", 9), ("max_score", 9), ("sum_score", 6))))
 
 
-_DEAD = " FROM symbols s LEFT JOIN scores USING (id) WHERE kind <> 'Struct' AND id NOT IN (SELECT dst FROM calls)"
+_DEAD = " FROM with_uncalled s LEFT JOIN scores USING (id) WHERE kind <> 'Struct' AND name <> 'main' AND NOT starts_with(name, 'test_') AND id NOT IN (SELECT dst FROM calls)"
 _RANKED = "SELECT row_number() OVER (ORDER BY pagerank DESC, id) AS rank, id, name, kind, split_part(id, '::', 1) AS file, round(pagerank, 9) AS pagerank FROM symbols JOIN scores USING (id) WHERE pagerank IS NOT NULL"
 
 
-@query("dead_code", sql("symbols", "calls", "scores") + " SELECT id, name, kind, split_part(id, '::', 1) AS file, start_line, round(coalesce(pagerank, 0), 9) AS pagerank" + _DEAD)
+@query("dead_code", sql("with_uncalled", "calls", "scores") + " SELECT id, name, kind, split_part(id, '::', 1) AS file, start_line, round(coalesce(pagerank, 0), 9) AS pagerank" + _DEAD)
 def _(m):
-    return lookup.dead_code(m.symbols, m.calls, m.scores, None).withColumn("pagerank", F.round("pagerank", 9))
+    return lookup.dead_code(m.with_uncalled, m.calls, m.scores, None).withColumn("pagerank", F.round("pagerank", 9))
 
 
-@query("dead_code_sort", sql("symbols", "calls", "scores") + " SELECT id, round(coalesce(pagerank, 0), 9) AS pagerank" + _DEAD + " ORDER BY coalesce(pagerank, 0), id LIMIT 50")
+@query("dead_code_sort", sql("with_uncalled", "calls", "scores") + " SELECT id, round(coalesce(pagerank, 0), 9) AS pagerank" + _DEAD + " ORDER BY coalesce(pagerank, 0), id LIMIT 50")
 def _(m):
-    return lookup.dead_code(m.symbols, m.calls, m.scores, 50).select("id", F.round("pagerank", 9).alias("pagerank"))
+    return lookup.dead_code(m.with_uncalled, m.calls, m.scores, 50).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
-@query("dead_code_report", sql("symbols", "calls", "scores") + f" SELECT count(*) AS count, 'main, init, __init__, setup, teardown, setUp, tearDown, test, test_*, Test*, *_test' AS excluded FROM (SELECT id {_DEAD} LIMIT 100)")
+@query("dead_code_report", sql("with_uncalled", "calls", "scores") + f" SELECT count(*) AS count, 'main, init, __init__, setup, teardown, setUp, tearDown, test, test_*, Test*, *_test' AS excluded FROM (SELECT id {_DEAD} LIMIT 100)")
 def _(m):
-    return lookup.dead_code_report(lookup.dead_code(m.symbols, m.calls, m.scores, 100))
+    return lookup.dead_code_report(lookup.dead_code(m.with_uncalled, m.calls, m.scores, 100))
 
 
 @query("index_stats", sql("files") + " SELECT count(*) FILTER (file_size % 3 = 0) AS written, sum(file_size) FILTER (file_size % 3 = 0) AS bytes, count(*) FILTER (file_size % 3 <> 0) AS unchanged FROM files")
@@ -415,19 +416,36 @@ def _(m):
     return lookup.rank(m.symbols, m.scores, 25, "Method").withColumn("pagerank", F.round("pagerank", 9))
 
 
-_IMPACT = sql("symbols", "calls", "scores") + f""",
- back(id, depth) AS (SELECT {_TARGET.format(10)}, 0 UNION SELECT c.src, b.depth + 1 FROM back b JOIN calls c ON c.dst = b.id WHERE b.depth < {{}}),
+_IMPACT = sql("symbols", "calls", "last_calls", "scores") + f""",
+ back(id, depth) AS (SELECT {_TARGET.format(10)}, 0 UNION SELECT c.src, b.depth + 1 FROM back b JOIN {{0}} c ON c.dst = b.id WHERE b.depth < {{1}}),
  reached AS (SELECT id, min(depth) AS depth FROM back WHERE id <> {_TARGET.format(10)} GROUP BY id)"""
 
 
-@query("impact", _IMPACT.format(6) + " SELECT id, depth FROM reached")
+# The whole graph is reached within a few steps, the chains of last calls within some hundred; more steps find nothing.
+@query("impact", _IMPACT.format("calls", 12) + " SELECT id, depth FROM reached")
 def _(m):
-    return graph.impact(m.calls, m.symbols, _id(m, 10), 6)
+    return graph.impact(m.calls, m.symbols, _id(m, 10))
 
 
-@query("impact_sort", _IMPACT.format(4) + " SELECT row_number() OVER (ORDER BY pagerank DESC NULLS LAST, id) AS rank, id, depth, round(pagerank, 9) AS pagerank FROM reached LEFT JOIN scores USING (id) ORDER BY rank LIMIT 50")
+_CHAINS = sql("symbols", "last_calls", "scores") + """,
+ most AS (SELECT dst AS top FROM last_calls GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),
+ back(id, depth) AS (SELECT top, 0 FROM most UNION SELECT c.src, b.depth + 1 FROM back b JOIN last_calls c ON c.dst = b.id WHERE b.depth < 400),
+ reached AS (SELECT id, min(depth) AS depth FROM back WHERE id NOT IN (SELECT top FROM most) GROUP BY id)"""
+
+
+def _most_called(m: Mapped) -> str:
+    row = m.last_calls.groupBy("dst").count().orderBy(F.desc("count"), "dst").first()
+    return row.dst if row else ""
+
+
+@query("impact_chains", _CHAINS + " SELECT id, depth FROM reached")
+def _(m):
+    return graph.impact(m.last_calls, m.symbols, _most_called(m))
+
+
+@query("impact_sort", _CHAINS + " SELECT row_number() OVER (ORDER BY pagerank DESC NULLS LAST, id) AS rank, id, depth, round(pagerank, 9) AS pagerank FROM reached LEFT JOIN scores USING (id)")
 def _(m):
-    rows = lookup.impact_report(m.calls, m.symbols, m.scores, _id(m, 10), 50, 4)
+    rows = lookup.impact_report(m.last_calls, m.symbols, m.scores, _most_called(m), None)
     return rows.select("rank", "id", "depth", F.round("pagerank", 9).alias("pagerank"))
 
 
@@ -452,6 +470,12 @@ def _(m):
     return graph.pagerank(m.symbols, m.calls, epsilon=0, max_iterations=_STEPS).select("id", F.round("pagerank", 9).alias("pagerank"))
 
 
+@query("pagerank_converged")
+def _(m):
+    """With production parameters: as many rounds as it takes, which SQL can't say."""
+    return graph.pagerank(m.symbols, m.calls)
+
+
 @query("pagerank_write", _PAGERANK + f" SELECT id, name, round(s, 9) AS pagerank FROM symbols JOIN r{_STEPS} USING (id)")
 def _(m):
     scores = graph.pagerank(m.symbols, m.calls, epsilon=0, max_iterations=_STEPS)

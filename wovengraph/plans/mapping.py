@@ -33,13 +33,34 @@ class Mapped:
 
     @property
     def calls(self) -> DataFrame:
-        few = self.table("lineitem").where("l_quantity >= 44").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
+        few = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
         after = few.select("l_orderkey", F.col("l_partkey").alias("callee"), (F.col("l_linenumber") - 1).alias("l_linenumber"))
         pairs = few.join(after, ["l_orderkey", "l_linenumber"]).select("l_partkey", "callee", "l_linenumber").distinct()
         ids = self.table("part").select("p_partkey", F.concat("p_brand", F.lit(".rs::"), F.col("p_partkey").cast("string")).alias("id"))
         a, b = ids.select(F.col("p_partkey").alias("l_partkey"), F.col("id").alias("src")), ids.select(F.col("p_partkey").alias("callee"), F.col("id").alias("dst"))
         return pairs.join(a, "l_partkey").join(b, "callee").select("src", "dst", F.col("l_linenumber").cast("bigint").alias("call_site_line"))
 
+    @property
+    def last_calls(self) -> DataFrame:
+        """Of each part only its last call, so that chains of callers get long."""
+        few = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
+        after = few.select("l_orderkey", F.col("l_partkey").alias("callee"), (F.col("l_linenumber") - 1).alias("l_linenumber"))
+        last = few.join(after, ["l_orderkey", "l_linenumber"]).groupBy("l_partkey").agg(F.max(F.struct("l_orderkey", "l_linenumber", "callee")).alias("at"))
+        ids = self.table("part").select("p_partkey", F.concat("p_brand", F.lit(".rs::"), F.col("p_partkey").cast("string")).alias("id"))
+        a, b = ids.select(F.col("p_partkey").alias("l_partkey"), F.col("id").alias("src")), ids.select(F.col("p_partkey").alias("callee"), F.col("id").alias("dst"))
+        return last.select("l_partkey", "at.callee").join(a, "l_partkey").join(b, "callee").select("src", "dst")
+
+    @property
+    def with_uncalled(self) -> DataFrame:
+        """The symbols, and one a supplier, which nothing calls; some of these are entry points."""
+        key = F.col("s_nationkey") % 5
+        name = F.when(key == 0, "main").when(key == 1, F.concat(F.lit("test_"), "s_name")).otherwise(F.col("s_name"))
+        more = self.table("supplier").select(
+            F.concat(F.lit("Supplier.rs::"), F.col("s_suppkey").cast("string")).alias("id"), name.alias("name"), F.when(F.col("s_suppkey") % 3 == 0, "Struct").when(F.col("s_suppkey") % 3 == 1, "Function").otherwise("Method").alias("kind"),
+            F.col("s_suppkey").cast("bigint").alias("start_line"), (F.col("s_suppkey") + 5).cast("bigint").alias("end_line"), F.col("s_name").alias("signature"),
+        )
+        return self.symbols.unionByName(more)
+
     @property
     def contains(self) -> DataFrame:
         nation = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -56,8 +77,8 @@ class Mapped:
     @property
     def imports(self) -> DataFrame:
         n = self.table("nation")
-        rows = self.table("lineitem").where("l_quantity >= 49").join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        pairs = rows.where((F.col("s_nationkey") + F.col("c_nationkey")) % 4 == 1).select("s_nationkey", "c_nationkey").distinct()
+        rows = self.table("lineitem").join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        pairs = rows.select("s_nationkey", "c_nationkey").distinct()
         a = n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("src"))
         b = n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("dst"))
         return pairs.join(F.broadcast(a), "s_nationkey").join(F.broadcast(b), "c_nationkey").select("src", "dst")  # 25 nations
@@ -91,7 +112,7 @@ class Mapped:
         flat = F.concat("p_brand", F.lit(".rs::"), "p_name")
         part = self.table("part").withColumn("id", F.when(F.col("p_size") % 2 == 0, deep).otherwise(flat))
         names = part.select("p_partkey", "id")
-        few = self.table("lineitem").where("l_quantity >= 48").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
+        few = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
         after = few.select("l_orderkey", F.col("l_partkey").alias("callee"), (F.col("l_linenumber") - 1).alias("l_linenumber"))
         called = few.join(after, ["l_orderkey", "l_linenumber"]).join(names, F.col("l_partkey") == F.col("p_partkey")).select("id", "callee", "l_linenumber")
         called = called.join(part.select(F.col("p_partkey").alias("callee"), "p_name"), "callee")
@@ -129,18 +150,19 @@ _KIND = "CASE p_size % 3 WHEN 0 THEN 'Function' WHEN 1 THEN 'Method' ELSE 'Struc
 SQL: dict[str, str] = {
     "symbols": f"SELECT {_ID} AS id, p_name AS name, {_KIND} AS kind, p_size::BIGINT AS start_line, (p_size + 10)::BIGINT AS end_line, p_type AS signature FROM part",
     "scores": f"SELECT {_ID} AS id, CASE WHEN p_size % 7 <> 0 THEN p_retailprice / 1000 END AS pagerank FROM part",
-    "few": "SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_linenumber AS n FROM lineitem WHERE l_quantity >= 44",
+    "few": "SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_linenumber AS n FROM lineitem",
     "calls": "SELECT DISTINCT x.p_brand || '.rs::' || x.p_partkey AS src, y.p_brand || '.rs::' || y.p_partkey AS dst, a.n::BIGINT AS call_site_line FROM few a JOIN few b ON a.o = b.o AND b.n = a.n + 1 JOIN part x ON x.p_partkey = a.p JOIN part y ON y.p_partkey = b.p",
+    "last_calls": "SELECT x.p_brand || '.rs::' || x.p_partkey AS src, y.p_brand || '.rs::' || y.p_partkey AS dst FROM (SELECT a.p, b.p AS q, row_number() OVER (PARTITION BY a.p ORDER BY a.o DESC, a.n DESC, b.p DESC) AS r FROM few a JOIN few b ON a.o = b.o AND b.n = a.n + 1) JOIN part x ON x.p_partkey = p JOIN part y ON y.p_partkey = q WHERE r = 1",
+    "with_uncalled": "SELECT * FROM symbols UNION ALL SELECT 'Supplier.rs::' || s_suppkey, CASE s_nationkey % 5 WHEN 0 THEN 'main' WHEN 1 THEN 'test_' || s_name ELSE s_name END, CASE s_suppkey % 3 WHEN 0 THEN 'Struct' WHEN 1 THEN 'Function' ELSE 'Method' END, s_suppkey::BIGINT, (s_suppkey + 5)::BIGINT, s_name FROM supplier",
     "contains": "SELECT 'File' AS src_kind, r_name AS src, r_name || '::' || n_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'Symbol', r_name || '::' || n_name, r_name || '::' || n_name || '::' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "places": "SELECT dst AS id, string_split(dst, '::')[-1] AS name, CASE src_kind WHEN 'File' THEN 'Class' ELSE 'Method' END AS kind, length(dst)::BIGINT AS start_line FROM contains",
-    "imports": "SELECT DISTINCT a.n_name AS src, b.n_name AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = c_nationkey WHERE l_quantity >= 49 AND (s_nationkey + c_nationkey) % 4 = 1",
+    "imports": "SELECT DISTINCT a.n_name AS src, b.n_name AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = c_nationkey",
     "files": "SELECT source || '/' || doc_id || '.' || CASE lang WHEN 'en' THEN 'rs' WHEN 'de' THEN 'py' WHEN 'fr' THEN 'ts' ELSE 'weird' END AS path, lang, n_chars AS file_size, sha256(text) AS hash, text FROM documents",
     "vectors": "SELECT 'f' || (vec_id % 50) || '.py::chunk::' || vec_id AS id, 'label ' || label AS text, 'Python' AS language, vec_id AS start_line, CASE WHEN vec_id % 11 <> 3 THEN embedding END AS embedding FROM embeddings",
     "documented_by": f"SELECT 'File' AS src_kind, 'f' || (vec_id % 50) || '.py' AS src, 'f' || (vec_id % 50) || '.py::chunk::' || vec_id AS chunk_id FROM embeddings WHERE vec_id % 13 <> 5 UNION ALL SELECT 'Symbol', {_ID}, 'f' || (vec_id % 50) || '.py::chunk::' || vec_id FROM embeddings JOIN part ON p_partkey = vec_id WHERE vec_id % 3 = 0",
     "mpart": f"SELECT p_partkey, p_name, {_KIND} AS kind, CASE WHEN p_size % 2 = 0 THEN p_brand || '.rs::' || p_type || '::' || p_name ELSE p_brand || '.rs::' || p_name END AS id FROM part",
     "modules": "SELECT id, min(p_name) AS name, min(kind) AS kind FROM mpart GROUP BY id",
-    "few48": "SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_linenumber AS n FROM lineitem WHERE l_quantity >= 48",
-    "asked": "SELECT DISTINCT x.id AS src, y.p_name AS name, a.n::BIGINT AS line, a.n % 2 = 0 AS is_method FROM few48 a JOIN few48 b ON a.o = b.o AND b.n = a.n + 1 JOIN mpart x ON x.p_partkey = a.p JOIN mpart y ON y.p_partkey = b.p",
+    "asked": "SELECT DISTINCT x.id AS src, y.p_name AS name, a.n::BIGINT AS line, a.n % 2 = 0 AS is_method FROM few a JOIN few b ON a.o = b.o AND b.n = a.n + 1 JOIN mpart x ON x.p_partkey = a.p JOIN mpart y ON y.p_partkey = b.p",
     "brands": "SELECT DISTINCT regexp_extract(p_brand, '([0-9]+)', 1)::INT AS n FROM part",
     "brand_imports": "SELECT 'Brand#' || a.n || '.rs' AS src, 'Brand#' || b.n || '.rs' AS dst FROM brands a JOIN brands b ON b.n = a.n + 1 OR b.n = a.n + 3",
     "pieces": "SELECT p_size, lower(p_type) AS t, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part",
@@ -153,7 +175,7 @@ SQL: dict[str, str] = {
 
 def sql(*needed: str) -> str:
     """A WITH clause of the tables needed and those before them."""
-    uses = {"calls": ("few",), "places": ("contains",), "modules": ("mpart",), "asked": ("few48", "mpart"), "brand_imports": ("brands",), "scripts": ("pieces",), "rusts": ("pieces",), "paths": ("scripts", "rusts")}
+    uses = {"calls": ("few",), "places": ("contains",), "modules": ("mpart",), "asked": ("few", "mpart"), "last_calls": ("few",), "with_uncalled": ("symbols",), "brand_imports": ("brands",), "scripts": ("pieces",), "rusts": ("pieces",), "paths": ("scripts", "rusts")}
     found: list[str] = []
 
     def add(name: str) -> None:
