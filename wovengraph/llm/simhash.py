@@ -42,6 +42,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -52,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wovengraph.llm.common import NOT_SPACE, Spans, buffers, checkpoint, chunks, runs
+from wovengraph.llm.common import NOT_SPACE, Spans, buffers, checkpoint, chunks, remove, runs, shared_dir
 from wovengraph.llm.components import components
 from wovengraph.llm.golay import decoder, keys
 from wovengraph.llm.substrings import window_hashes
@@ -416,10 +417,9 @@ def coarse_groups(texts: DataFrame) -> DataFrame:
     return checkpoint(fps.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), (F.col("several") | F.col("root").isNotNull()).alias("several")))
 
 
-def similar_texts(texts: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): links among the texts (th) that connect those that share a coarse group and are
-    similar; `texts` has (fp, th, sketch), `groups` is as `coarse_groups` gives it."""
-    member = checkpoint(texts.join(groups.where("several"), "fp").select("root", "th", "sketch"))
+def similar_texts(member: DataFrame) -> DataFrame:
+    """(a, b): links among the texts of `member` (root, th, sketch) that connect those that share a
+    coarse group and are similar."""
     blocks = member.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / TEXTS, F.sum(F.length("sketch")) / BYTES, F.lit(1.0))).cast("int").alias("n"))
     dealt = member.join(blocks, "root").withColumn("x", F.pmod("th", "n"))
     meets = dealt.withColumn("y", F.explode(F.expr("sequence(0, n - 1)"))).select("root", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "th", "sketch")
@@ -462,25 +462,25 @@ def common_shingles(docs: DataFrame, text: str = "text", shingle: int = 5) -> np
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, th, n) sorted by key and th, each once, those whose key several texts have."""
-    last, told = [np.zeros(0, np.int64)] * 3, False
+    """Of rows (key, th) sorted by key and th, each once, those whose key several texts have."""
+    last, told = [np.zeros(0, np.int64)] * 2, False
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, th, n = (np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for k, x in enumerate(last))
+        key, th = (np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for k, x in enumerate(last))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (th[1:] != th[:-1])
-        key, th, n = key[new], th[new], n[new]
+        key, th = key[new], th[new]
         kept = np.zeros(len(key), bool)
         same = key[1:] == key[:-1]
         kept[1:] |= same
         kept[:-1] |= same
         kept[0] |= told
-        last, told = [key[-1:], th[-1:], n[-1:]], bool(kept[-1])
+        last, told = [key[-1:], th[-1:]], bool(kept[-1])
         kept[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (key, th, n)], ["key", "th", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (key, th)], ["key", "th"])
     if told:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], ["key", "th", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], ["key", "th"])
 
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -515,10 +515,9 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b): pairs of texts (th), among them all that are similar and of different coarse groups."""
-    schema = "key long, th long, n long"
-    filed = texts.select(F.explode("prefix").alias("key"), "th", "n").repartition("key").sortWithinPartitions("key", "th")
-    shared = checkpoint(filed.mapInArrow(released(_shared), schema))
-    roots = texts.select("th", "fp", "odd").join(groups.select("fp", "root"), "fp").select("th", "root", "odd")
+    filed = texts.select(F.explode("prefix").alias("key"), "th").repartition("key").sortWithinPartitions("key", "th")
+    shared = checkpoint(filed.mapInArrow(released(_shared), "key long, th long"))
+    roots = texts.select("th", "fp", "n", "odd").join(groups.select("fp", "root"), "fp").select("th", "root", "n", "odd")
     known = shared.join(roots, "th")
     mixed = known.groupBy("key").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "k")
     dealt = known.join(mixed, "key").withColumn("x", F.pmod(F.xxhash64("th"), "k"))
@@ -542,23 +541,31 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
 
-def missed_links(texts: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): all links among similar texts (th) of different coarse groups."""
+def similar_links(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): links among the texts (th) that connect all that are similar; `texts` is as `described`
+    and `groups` as `coarse_groups` gives it."""
     pairs = checkpoint(candidates(texts, groups))
-    wanted = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
-    whole = checkpoint(texts.select("th", "sketch").join(wanted, "th", "left_semi"))
+    grouped = texts.select("th", "fp").join(groups.where("several"), "fp").select("th", "root")
+    wanted = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct().withColumn("root", F.lit(None).cast("long"))
+    wanted = grouped.unionByName(wanted).groupBy("th").agg(F.max("root").alias("root"))
+    whole = checkpoint(texts.select("th", "sketch").join(wanted, "th"))  # the hashes cross the network once for both
     x, y = whole.select(F.col("th").alias("a"), F.col("sketch").alias("x")), whole.select(F.col("th").alias("b"), F.col("sketch").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(released(_similar), "a long, b long")
+    missed = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(released(_similar), "a long, b long")
+    return similar_texts(whole.where("root is not null")).union(missed)
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """One row of each group of similar texts, all columns: that with the least id (a null id
     only where no other is), of rows with that id the text with the least hash."""
-    texts = checkpoint(described(docs, common_shingles(docs, text, shingle), doc_id, text, shingle))
-    groups = coarse_groups(texts)
-    found = components(similar_texts(texts, groups).union(missed_links(texts, groups))).withColumnRenamed("node", "th")
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/near_dedup/{uuid.uuid4().hex}"
+    made = described(docs, common_shingles(docs, text, shingle), doc_id, text, shingle)
+    made.write.parquet(folder)
+    texts = spark.read.schema(made.schema).parquet(folder)
+    found = components(similar_links(texts, coarse_groups(texts))).withColumnRenamed("node", "th")
     marked = texts.select("th", "id").join(found, "th", "left").withColumn("root", F.coalesce("root", "th"))
-    best = marked.groupBy("root").agg(F.min(F.struct("id.none", "id.id", "th")).alias("best")).select("best.*")
+    best = checkpoint(marked.groupBy("root").agg(F.min(F.struct("id.none", "id.id", "th")).alias("best")).select("best.*"))
+    remove(spark, folder)
     key = [F.col(doc_id).isNull().alias("__none"), F.coalesce(F.col(doc_id), _zero(docs, doc_id)).alias("__id"), F.xxhash64(text).alias("__th")]
     chosen = best.select(F.col("none").alias("__none"), F.coalesce("id", _zero(docs, doc_id)).alias("__id"), F.col("th").alias("__th"))
     # Join and numbering share the keys, so the rows cross the network once for both.
