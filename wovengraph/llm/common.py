@@ -82,15 +82,17 @@ NOT_SPACE = ~_SPACE
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(30)
+    return x
 
 
 #: Bytes from which a span is hashed by itself and not in step with the others.
 LONG_SPAN = 256
-_LOW_BYTES = (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1)
+#: Masks of the first 0 to 8 bytes of a lane.
+_LOW_BYTES = np.append((np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1), ~np.uint64(0))
 
 
 class Spans:
@@ -106,16 +108,22 @@ class Spans:
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         size = ends - starts
-        out = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15)
-        for k in np.flatnonzero(size > LONG_SPAN).tolist():
-            out[k] = mix(np.array([xxhash.xxh64_intdigest(self._data[starts[k] : ends[k]], 17)], np.uint64) + out[k : k + 1])[0]
-        left = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
-        at, n = starts[left], size[left]
+        lane = self._lanes[starts]
+        lane &= _LOW_BYTES[np.minimum(size, 8)]
+        lane ^= size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15)
+        out = mix(lane)
+        left = np.flatnonzero(size > 8)
+        at, n = starts[left] + 8, size[left] - 8
+        for k in left[n > LONG_SPAN].tolist():
+            out[k] = mix(out[k : k + 1] ^ np.uint64(xxhash.xxh64_intdigest(self._data[starts[k] : ends[k]], 17)))[0]
+        if len(left) and n.max() > LONG_SPAN:
+            short = n <= LONG_SPAN
+            left, at, n = left[short], at[short], n[short]
         while len(left):
             lane = self._lanes[at]
-            part = n < 8
-            lane[part] &= _LOW_BYTES[n[part]]
-            out[left] = mix(out[left] ^ lane)
+            lane &= _LOW_BYTES[np.minimum(n, 8)]
+            lane ^= out[left]
+            out[left] = mix(lane)
             more = n > 8
             left, at, n = left[more], at[more] + 8, n[more] - 8
         return out
@@ -126,11 +134,16 @@ def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = len(member)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    before, after = np.zeros(n, bool), np.zeros(n, bool)
-    before[1:], after[:-1] = member[:-1], member[1:]
-    inner = offsets[(offsets > 0) & (offsets < n)]
-    before[inner], after[inner - 1] = False, False
-    return np.flatnonzero(member & ~before), np.flatnonzero(member & ~after) + 1
+    # A border between two members ends one run and starts another.
+    change = np.empty(n + 1, bool)
+    change[0], change[n] = member[0], member[-1]
+    np.not_equal(member[1:], member[:-1], out=change[1:n])
+    inner = np.unique(offsets[(offsets > 0) & (offsets < n)])
+    inner = inner[member[inner] & member[inner - 1]]
+    at = np.flatnonzero(change)
+    if len(inner):
+        at = np.sort(np.concatenate([at, inner, inner]))
+    return at[::2], at[1::2]
 
 
 def per_text(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
