@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wovengraph.llm.common import NOT_SPACE, checkpoint, chunks
+from wovengraph.llm.common import NOT_SPACE, checkpoint, chunks, released
 
 WINDOW = 13
 #: Bytes of item text that one automaton is made from, at most (one longer item is cut at this size, overlapping by a window).
@@ -223,10 +223,10 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, ite
     context, held = docs.sparkSession.sparkContext, None
     for items in item_blocks(benchmark, item_id, item_text, window):
         if held:
-            docs = checkpoint(docs.mapInArrow(step(held, False), between))
+            docs = checkpoint(docs.mapInArrow(released(step(held, False)), between))
             held.unpersist()
         held = context.broadcast((uuid.uuid4().hex, items))
-    return docs.mapInArrow(step(held, True), schema)
+    return docs.mapInArrow(released(step(held, True)), schema)
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 class Lexicon:
     """Maps keys to runs of integers.  Past `limit` keys it starts afresh."""
 
-    def __init__(self, limit: int = 1_500_000) -> None:
+    def __init__(self, limit: int = 500_000) -> None:
         self.limit = limit
         self.clear()
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wovengraph.llm.common import Spans, buffers, checkpoint, chunks, runs
+from wovengraph.llm.common import Spans, buffers, checkpoint, chunks, released, runs
 from wovengraph.llm.lexicon import Lexicon, spread
 from wovengraph.llm.merges import RankMerger
 
@@ -171,7 +171,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             own = batch.column(batch.schema.get_field_index(doc_id)).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([own, *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(doc_id, text).mapInArrow(released(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def combinations(units: int, depth: int = DEPTH) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wovengraph.llm.common import NOT_SPACE, Spans, buffers, chunks, per_text, repeats, runs
+from wovengraph.llm.common import NOT_SPACE, Spans, buffers, chunks, per_text, released, repeats, runs
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -254,7 +254,7 @@ def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] | None = N
         for batch, column in chunks(batches, text):
             yield batch.filter(pa.array(verdicts(column, ordered) < 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] | None = None) -> DataFrame:
@@ -281,4 +281,4 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tu
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
 
     schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return docs.select(doc_id, text).mapInArrow(released(run), schema)

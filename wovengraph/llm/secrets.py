@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wovengraph.llm.common import buffers, chunks, runs
+from wovengraph.llm.common import buffers, chunks, released, runs
 
 KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -327,7 +327,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", net: Netwo
                 ["doc_id", "n_assign", "n_access", "n_hex", "n_model", "base_sha256", "spans"],
             )
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_model long, base_sha256 string, spans string")
+    return docs.select(doc_id, text).mapInArrow(released(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_model long, base_sha256 string, spans string")
 
 
 def _redacted(text: bytes, found: list[tuple[Finding, int]]) -> str:
@@ -355,4 +355,4 @@ def redact(docs: DataFrame, text: str = "text", net: Network | None = None) -> D
                 batch = batch.set_column(k, batch.schema.field(k), pa.array(new, batch.schema.field(k).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -40,8 +40,6 @@ gives an empty result."""
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -53,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wovengraph.llm.common import NOT_SPACE, Spans, buffers, checkpoint, chunks, remove, runs, shared_dir
+from wovengraph.llm.common import NOT_SPACE, Spans, buffers, checkpoint, chunks, released, remove, runs, shared_dir
 from wovengraph.llm.components import components
 from wovengraph.llm.golay import decoder, keys
 from wovengraph.llm.substrings import window_hashes
@@ -75,18 +73,6 @@ BITS = 512
 PIECE, PAIRED = 1 << 19, 1 << 17
 
 
-def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`run`, after which the worker, which later stages use again, gives free memory back."""
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
-
-    return whole
-
-
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """The unsigned fingerprint of a UTF-8 text: bit by bit the majority over the XXH64
     (seed 42) of its word shingles, repeats included; zero for a text without words."""

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wovengraph.llm.common import Spans, buffers, chunks, mix, runs
+from wovengraph.llm.common import Spans, buffers, chunks, mix, released, runs
 from wovengraph.llm.lexicon import Lexicon, spread
 from wovengraph.llm.merges import RankMerger
 
@@ -137,4 +137,4 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
             n = counter(path).count(data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(doc_id)), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(doc_id, text).mapInArrow(released(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
