@@ -196,6 +196,50 @@ def test_store_and_listing(spark, tree, tmp_path):
     assert rows(scan.without_database(paths, "g.db")) == [("g.dbx",)]
 
 
+def test_two_writers(spark, tmp_path):
+    """The second of two writers from one state changes nothing and is told so."""
+    one, two = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    one.initialize("/r")
+    files = spark.createDataFrame([("a.py", "Python", 1, "h", [])], one.read("files").schema)
+    one.begin()
+    two.begin()
+    one.commit({"files": files})
+    with pytest.raises(StoreError, match="another writer"):
+        two.commit({"files": files.limit(0)})
+    assert two.read("files").count() == 1
+    state = two.manifest()
+    with pytest.raises(StoreError, match="another writer"):  # both past the check, as when they rename at once
+        two._put(state)
+    assert two.manifest() == state and len(list((tmp_path / "s" / "manifests").glob("*.json"))) == 2
+    two.begin()
+    two.commit({"files": files.limit(0)})
+    assert one.read("files").count() == 0
+
+
+RULES = {
+    ".gitignore": "# none\n*.tmp\n!keep.tmp\n/top.py\nout/\ndocs/*.md\nsrc/**/gen.py\n**/cache\nlogs/**\nq?.py\n[xy]1.py\n[!a-z]z.py\n\\#odd.py\ntrail.py   \nsp\\ \n",
+    "deep/.gitignore": "!back.tmp\nonly.py\n",
+    "deep/.ignore": "!top.py\n*.late\n",
+}
+GONE = "a.tmp deep/a.tmp top.py out/a.py deep/out/a.py docs/a.md src/gen.py src/a/gen.py src/a/b/gen.py deep/cache cache/a.py logs/a logs/b/c qa.py deep/qb.py x1.py 0z.py #odd.py trail.py deep/only.py deep/in/only.py deep/a.late"
+KEPT = "keep.tmp deep/keep.tmp deep/top.py docs/in/a.md gen.py q.py qab.py z1.py bz.py deep/back.tmp only.py a.late __init__.py [x]{y}*.py src/out sp"
+
+
+def test_ignore_rules(spark, tmp_path):
+    for name, text in RULES.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    gone, kept = [*GONE.split(" "), "sp "], KEPT.split(" ")
+    for name in gone + kept:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    names, errors = scan.list_tree(str(tmp_path))
+    assert (names, errors) == (sorted(kept), [])
+    found, _ = scan.read_tree(spark, str(tmp_path))
+    assert rows(found) == sorted((n, bytearray(n.encode()), len(n)) for n in kept)
+    assert scan.read_files(spark, str(tmp_path), ["no.py"]).count() == 0 and scan.read_files(spark, str(tmp_path), kept, batch=1).count() == len(kept)
+
+
 def test_registry(tmp_path):
     path = tmp_path / "r" / "registry.json"
     known = registry.Registry.load(path)

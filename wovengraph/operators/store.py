@@ -2,14 +2,17 @@
 
 A commit writes the tables it changes into a new snapshot folder and then adds one manifest
 file that names each table's folder; readers follow the highest complete manifest, so a
-failed commit leaves the last state in force.  Only Spark reads and writes data and manifests,
-so any store that Spark reaches will do."""
+failed commit leaves the last state in force.  Of two writers that begin from the same state
+the second to commit gets a StoreError, as a manifest's name is its number and no file is
+replaced.  Data and manifests go through Spark and its file systems, so any store that Spark
+reaches will do, where renaming onto a name in use fails."""
 
 from __future__ import annotations
 
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,12 +22,17 @@ VERSION = 1
 
 
 class StoreError(Exception):
-    """The store is of another version or another repository."""
+    """The store is of another version or another repository, or another writer was first."""
 
 
 class Store:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.base: int | None = None
+
+    def begin(self) -> None:
+        """From now to the next commit, no other writer's commit may come in between."""
+        self.base = (self.manifest() or {}).get("number", 0)
 
     def manifest(self) -> dict | None:
         """The state in force; None for a new store."""
@@ -52,7 +60,30 @@ class Store:
         return state["root"]
 
     def _put(self, state: dict) -> None:
-        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/manifests")
+        """Add the manifest under its number: written aside, then renamed, which fails if the name is in use."""
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        folder = fs.Path(f"{self.folder}/manifests")
+        store = folder.getFileSystem(conf)
+        folder = store.makeQualified(folder)
+        store.mkdirs(folder)
+        aside, final = fs.Path(folder, f".{uuid.uuid4().hex}"), fs.Path(folder, f"{state['number']:012d}.json")
+        out = store.create(aside, False)
+        try:
+            out.write(bytearray(json.dumps(state).encode() + b"\n"))
+        finally:
+            out.close()
+        files = fs.FileContext.getFileContext(folder.toUri(), conf)
+        never = self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+        try:
+            files.rename(aside, final, never)
+        except Py4JJavaError as e:
+            store.delete(aside, False)
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            raise StoreError(f"another writer has committed state {state['number']}; run again") from e
+        finally:
+            self.base = None
 
     def read(self, table: str) -> DataFrame:
         state = self.manifest() or {"tables": {}}
@@ -68,6 +99,9 @@ class Store:
         state = self.manifest()
         if state is None:
             raise StoreError("initialize the store first")
+        if self.base not in (None, state["number"]):
+            self.base = None
+            raise StoreError(f"another writer has committed state {state['number']}; run again")
         made = f"snapshots/{uuid.uuid4().hex}"
         for table, frame in changed.items():
             want = empty(self.spark, table).schema

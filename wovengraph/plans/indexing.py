@@ -53,6 +53,7 @@ def apply_files(store: Store, fresh: DataFrame, removed: DataFrame) -> tuple[Rep
 
 def link(store: Store) -> None:
     """Recompute every import and call edge, then every score, from the stored tables."""
+    store.begin()
     files, symbols = store.read("files"), store.read("symbols")
     imports = graph.checkpoint(resolve.resolve_imports(files))
     calls = graph.checkpoint(resolve.resolve_calls(symbols, imports).select("src", "dst", "call_site_line"))
@@ -64,6 +65,7 @@ def index(store: Store, root: str, database: str = "", rebuild: bool = False) ->
     """Index a tree: new and changed files are parsed and written, files no longer there removed
     (only if the walk met no error), and the graph linked and scored."""
     store.initialize(root, rebuild)
+    store.begin()
     found, errors = scan.read_tree(store.spark, root, database)
     rows = scan.file_rows(found)
     seen = graph.checkpoint(rows.select("path", "hash"))
@@ -82,6 +84,7 @@ def index(store: Store, root: str, database: str = "", rebuild: bool = False) ->
 
 def embed(store: Store, embedder: vectors.Embedder = vectors.hashed_features, batch: int = 256) -> int:
     """Embed every chunk without an embedding; how many there were."""
+    store.begin()
     rows = store.read("chunks")
     missing = rows.where(vectors.needs_embedding(F.col("embedding"))).count()
     if missing:

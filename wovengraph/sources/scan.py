@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,40 +23,79 @@ PARSED = (
 )
 
 
-def _ignored(name: str, relative: str, folder: bool, rules: list[str]) -> bool:
-    """The last rule that fits decides; `!` takes back, a trailing slash means folders only, and a
-    slash elsewhere anchors at the rules' own folder."""
-    gone = False
-    for rule in rules:
-        keep = rule.startswith("!")
-        body = rule[keep:]
-        if body.endswith("/") and not folder:
+def _pattern(body: str) -> str:
+    """A rule's glob as a regular expression over relative paths: `*` and `?` stay within a name,
+    `**` between slashes crosses folders, and a rule without an inner slash fits at any depth."""
+    out = "" if "/" in body.rstrip("/") else "(?:.*/)?"
+    body = body.strip("/")
+    k = 0
+    while k < len(body):
+        c = body[k]
+        if body.startswith("**/", k) and (k == 0 or body[k - 1] == "/"):
+            out, k = out + "(?:.*/)?", k + 3
             continue
-        body = body.rstrip("/")
-        anchored = "/" in body
-        fits = fnmatch.fnmatch(relative, body.lstrip("/")) if anchored else fnmatch.fnmatch(name, body)
-        gone = (not keep) if fits else gone
-    return gone
+        if body[k:] == "**" and k and body[k - 1] == "/":
+            out, k = out + ".+", k + 2
+            continue
+        close = body.find("]", k + 2)
+        if c == "[" and close > 0:
+            inside = body[k + 1 : close].replace("\\", "\\\\").replace("[", "\\[")
+            negated = inside[0] in "!^"
+            out, k = out + ("(?!/)[^" + inside[1:] if negated else "(?!/)[" + inside) + "]", close + 1
+            continue
+        if c == "\\" and k + 1 < len(body):
+            k += 1
+            c = re.escape(body[k])
+        else:
+            c = {"*": "[^/]*", "?": "[^/]"}.get(c) or re.escape(c)
+        out, k = out + c, k + 1
+    return out
+
+
+def ignore_rules(text: str) -> list[tuple[re.Pattern[str], bool, bool]]:
+    """(pattern, folders only, takes back) of each rule of an ignore file; comments, blank lines
+    and rules that can't be read are left out."""
+    found = []
+    for line in text.splitlines():
+        rule = re.sub(r"(?<!\\) +$", "", line)
+        if not rule.strip() or rule.startswith("#"):
+            continue
+        back = rule.startswith("!")
+        body = rule[back:]
+        try:
+            found.append((re.compile(_pattern(body), re.DOTALL), body.endswith("/"), back))
+        except re.error:
+            continue
+    return found
+
+
+def _verdict(path: str, folder: bool, files: list[tuple[str, list]]) -> bool | None:
+    """What the last fitting rule of the deepest file says of a path; None where none fits."""
+    for base, rules in reversed(files):
+        inner = path[len(base) + 1 if base else 0 :]
+        for pattern, folders, back in reversed(rules):
+            if (folder or not folders) and pattern.fullmatch(inner):
+                return not back
+    return None
 
 
 def list_tree(root: str, database: str = "") -> tuple[list[str], list[str]]:
     """(relative paths, errors) of a local tree: hidden names, what .gitignore and .ignore rule
-    out, and the database with its companions are left out; errors don't stop the walk."""
+    out, and the database with its companions are left out; errors don't stop the walk.  Of rules
+    that fit, .ignore goes before .gitignore, then the deeper file, then the later line."""
     found, errors = [], []
-    todo: list[tuple[str, list[tuple[str, list[str]]]]] = [("", [])]
+    todo: list[tuple[str, dict[str, list[tuple[str, list]]]]] = [("", {".ignore": [], ".gitignore": []})]
     while todo:
         folder, rules = todo.pop()
         here = os.path.join(root, folder)
-        own: list[str] = []
-        for name in (".gitignore", ".ignore"):
+        for name in rules:
             try:
-                with open(os.path.join(here, name), encoding="utf-8") as f:
-                    own += [line.strip() for line in f if line.strip() and not line.startswith("#")]
+                with open(os.path.join(here, name), encoding="utf-8", errors="replace") as f:
+                    rules = rules | {name: [*rules[name], (folder, ignore_rules(f.read()))]}
             except FileNotFoundError:
                 pass
             except OSError as e:
                 errors.append(str(e))
-        rules = [*rules, (folder, own)] if own else rules
         try:
             entries = sorted(os.scandir(here), key=lambda e: e.name)
         except OSError as e:
@@ -68,12 +107,16 @@ def list_tree(root: str, database: str = "") -> tuple[list[str], list[str]]:
             if entry.name.startswith(".") or database and (full == database or full.startswith(f"{database}.")):
                 continue
             is_folder = entry.is_dir(follow_symlinks=False)
-            if any(_ignored(entry.name, path[len(base) + 1 if base else 0 :], is_folder, r) for base, r in rules):
+            gone = _verdict(path, is_folder, rules[".ignore"])
+            if _verdict(path, is_folder, rules[".gitignore"]) if gone is None else gone:
                 continue
             if is_folder:
                 todo.append((path, rules))
             elif entry.is_file():
-                found.append(path)
+                if os.access(full, os.R_OK):
+                    found.append(path)
+                else:
+                    errors.append(f"can't read {path}")
     return sorted(found), errors
 
 
@@ -85,19 +128,43 @@ def without_database(paths: DataFrame, database: str) -> DataFrame:
 def read_tree(spark: SparkSession, root: str, database: str = "") -> tuple[DataFrame, list[str]]:
     """(path, content, size) of a tree in any store that Spark reads.
 
-    A tree on the driver's disk is listed with its ignore rules; then the files themselves are
-    read by Spark.  Other stores are read whole, without hidden names."""
+    A tree on a mounted disk is listed with its ignore rules; then executors read the files.
+    Other stores are read whole by Spark, without names that begin with a dot or an underscore
+    (Spark lists none of these) and without ignore rules."""
     base = root.removeprefix("file://").rstrip("/")
     if "://" in base or not os.path.isdir(base):
         rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         relative = F.regexp_replace("path", rf"^.*?{_quoted(root.rstrip('/').split('://')[-1])}/", "")
         return rows.select(relative.alias("path"), "content", F.col("length").alias("size")).where(~F.col("path").rlike(r"(^|/)\.")), []
     names, errors = list_tree(base, database)
-    if not names:
-        return spark.createDataFrame([], "path string, content binary, size bigint"), errors
-    rows = spark.read.format("binaryFile").load([f"file://{base}/{n}" for n in names])
-    relative = F.expr(f"substring(path, {len('file:' + base) + 2})")
-    return rows.select(relative.alias("path"), "content", F.col("length").alias("size")), errors
+    return read_files(spark, base, names), errors
+
+
+def read_files(spark: SparkSession, base: str, names: list[str], batch: int = 64 << 20) -> DataFrame:
+    """(path, content, size) of files below a folder that executors reach under the same name.
+    Names are taken literally, whatever signs they hold; files that are gone by now are left out.
+    A frame ends at `batch` bytes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out, held = [], 0
+            for name in frame["path"]:
+                try:
+                    with open(os.path.join(base, name), "rb") as f:
+                        content = f.read()
+                except FileNotFoundError:
+                    continue
+                out.append((name, content, len(content)))
+                held += len(content)
+                if held >= batch:
+                    yield pd.DataFrame(out, columns=["path", "content", "size"])
+                    out, held = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=["path", "content", "size"])
+
+    paths = spark.createDataFrame(pd.DataFrame({"path": pd.Series(names, dtype="object")}), "path string")
+    slices = max(1, min(len(names) // 64, 4096))
+    return paths.repartition(slices, "path").mapInPandas(run, "path string, content binary, size bigint")
 
 
 def _quoted(text: str) -> str:

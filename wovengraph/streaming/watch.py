@@ -21,6 +21,7 @@ def apply_batch(store: Store, root: str, batch: DataFrame, warn: Callable[[str],
     """Apply the events of one batch: paths removed or gone leave the graph, others are hashed and
     written if they changed; then the graph is linked and scored.  Running a batch again changes
     nothing, as hashes are compared, so replays after a failure are harmless."""
+    store.begin()
     base = root.rstrip("/")
     wanted = actions(batch).withColumn("path", F.regexp_replace("path", f"^{scan._quoted(base)}/", ""))
     rows = wanted.collect()  # the paths of one batch of file-system events
@@ -28,11 +29,7 @@ def apply_batch(store: Store, root: str, batch: DataFrame, warn: Callable[[str],
     gone = sorted({r.path for r in rows} - set(there))
     spark = store.spark
     removed = store.read("files").join(spark.createDataFrame([(p,) for p in gone], "path string"), "path", "left_semi")
-    if there:
-        found = spark.read.format("binaryFile").load([f"file://{base}/{p}" for p in there])
-        found = found.select(F.expr(f"substring(path, {len('file:' + base) + 2})").alias("path"), "content", F.col("length").alias("size"))
-    else:
-        found = spark.createDataFrame([], "path string, content binary, size bigint")
+    found = scan.read_files(spark, base, there)
     fresh = scan.changed_files(scan.file_rows(found), store.read("files"))
     report, tables = indexing.apply_files(store, fresh, removed)
     for path in report.failed:
