@@ -104,6 +104,18 @@ def test_search(graph):
     best = graph.similar("fn helper() {}", 3, 0.5)
     assert best[0]["symbol"] == "helper" and best[0]["score"] == pytest.approx(1, abs=1e-6) and best[0]["line"] == 8
     assert graph.similar("zzz unrelated", 3, 0.9) == []
+    # The same through an index, which goes when chunks are written.
+    asked = ["fn helper() {}", "zzz unrelated", ""]
+    scanned = [graph.similar(q, 4, 0.0) for q in asked]
+    assert graph.store.vector_index() is None and graph.embed(index=True) == 0
+    at = graph.store.vector_index()
+    assert at and [graph.similar(q, 4, 0.0) for q in asked] == scanned and graph.embed(index=True) == 0 and graph.store.vector_index() == at
+    graph.store.commit({"chunks": graph.store.read("chunks")})
+    assert graph.store.vector_index() is None
+    assert vectors.embedder_named("wovengraph.operators.vectors:hashed_features") is vectors.hashed_features
+    for bad in ("wovengraph.operators.vectors:none", "no.such:f", ""):
+        with pytest.raises(ValueError):
+            vectors.embedder_named(bad)
 
 
 def test_front_ends(graph, tree, monkeypatch, tmp_path):

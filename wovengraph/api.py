@@ -12,6 +12,7 @@ from wovengraph import render
 from wovengraph.functions.text import source_slice
 from wovengraph.operators import edges, lookup, vectors
 from wovengraph.operators.store import Store
+from wovengraph.operators.vector_index import VectorIndex
 from wovengraph.plans import indexing
 from wovengraph.plans.cypher import cypher
 
@@ -22,14 +23,18 @@ def _rows(frame: DataFrame, most: int = 100_000) -> list[dict]:
 
 
 class Graph:
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.store = spark, Store(spark, folder)
+    def __init__(self, spark: SparkSession, folder: str, embedder: vectors.Embedder = vectors.hashed_features) -> None:
+        self.spark, self.store, self.embedder = spark, Store(spark, folder), embedder
 
     def index(self, root: str, rebuild: bool = False) -> indexing.Report:
         return indexing.index(self.store, os.path.abspath(root) if "://" not in root else root, self.store.folder, rebuild)
 
-    def embed(self, batch: int = 256) -> int:
-        return indexing.embed(self.store, batch=batch)
+    def embed(self, batch: int = 256, index: bool = False) -> int:
+        """Embed what isn't yet; with `index`, also see that a vector index is in force."""
+        done = indexing.embed(self.store, self.embedder, batch)
+        if index:
+            indexing.ensure_index(self.store)
+        return done
 
     def cypher(self, text: str, parameters: dict[str, Any] | None = None) -> DataFrame:
         return cypher(text, self.store.tables(), parameters)
@@ -79,7 +84,9 @@ class Graph:
 
     def similar(self, text: str, k: int = 5, threshold: float = 0.5) -> list[dict]:
         t = self.store.tables()
-        return _rows(vectors.similar(t["chunks"], t["documented_by"], t["symbols"], text, k, threshold))
+        at = self.store.vector_index()
+        search = VectorIndex(self.spark, at).search if at else None
+        return _rows(vectors.similar(t["chunks"], t["documented_by"], t["symbols"], text, k, threshold, self.embedder, search))
 
     def counts(self) -> dict[str, int]:
         t = self.store.tables()

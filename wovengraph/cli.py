@@ -11,7 +11,7 @@ from wovengraph import render
 from wovengraph.api import Graph, shown_cypher
 from wovengraph.operators.lookup import Ambiguous, QueryError
 from wovengraph.operators.store import StoreError
-from wovengraph.operators.vectors import NotEmbedded
+from wovengraph.operators.vectors import NotEmbedded, embedder_named
 from wovengraph.plans.cypher import CypherError
 from wovengraph.sources import registry
 
@@ -27,6 +27,7 @@ def session():
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="wovengraph", description="A code-intelligence graph on Spark.")
     p.add_argument("-d", "--db", default="graph.db", help="folder of the stored graph")
+    p.add_argument("--embedder", default="wovengraph.operators.vectors:hashed_features", help="module:function from texts to a matrix")
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name: str, *aliases: str, **kw) -> argparse.ArgumentParser:
@@ -72,6 +73,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--format", default="table")
     c = command("embed")
     c.add_argument("--batch-size", type=int, default=256)
+    c.add_argument("--index", action="store_true", help="build the vector index that similar then reads")
     command("repl")
     c = command("watch")
     c.add_argument("path")
@@ -120,7 +122,7 @@ def run(args: argparse.Namespace, graph: Graph, write: Callable[[str], None] = p
     elif name == "similar":
         write(render.rows(args.format, "Similar", "chunks", render.SIMILAR_COLUMNS, graph.similar(args.text, args.limit, args.threshold), args.text))
     elif name == "embed":
-        write(f"{graph.embed(args.batch_size)} chunks embedded")
+        write(f"{graph.embed(args.batch_size, args.index)} chunks embedded")
     elif name == "repl":
         from wovengraph.repl import loop
 
@@ -143,7 +145,7 @@ def run(args: argparse.Namespace, graph: Graph, write: Callable[[str], None] = p
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        return run(args, Graph(session(), args.db))
+        return run(args, Graph(session(), args.db, embedder_named(args.embedder)))
     except Ambiguous as e:
         print(e, file=sys.stderr)
         for c in e.candidates:

@@ -89,11 +89,11 @@ def needs_embedding(vector: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity in double precision; null for a zero vector."""
+    """Cosine similarity in double precision; null for a zero vector and where a number is missing or not finite."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norms = [F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))) for v in (a, b)]
     size = norms[0] * norms[1]
-    return F.when(size > 0, dot / size)
+    return F.when((size > 0) & ~F.isnan(dot / size), dot / size)
 
 
 def normal_path(path: Column) -> Column:

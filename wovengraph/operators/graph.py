@@ -9,26 +9,46 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's spark.checkpoint.dir; in a folder of our own only where that is
-    unset and all runs on this machine."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
+def _shared(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset and all runs on
+    this machine."""
+    at = spark.sparkContext.getCheckpointDir()
+    if not at:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
             if not re.match(r"local(\[|$)", spark.sparkContext.master):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="wovengraph-")
-            atexit.register(shutil.rmtree, folder, True)
-        spark.sparkContext.setCheckpointDir(folder)
+            at = tempfile.mkdtemp(prefix="wovengraph-")
+            atexit.register(shutil.rmtree, at, True)
+        spark.sparkContext.setCheckpointDir(at)
+    return at
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def work_folder(spark: SparkSession) -> Iterator[str]:
+    """A name for a folder of intermediate tables in the shared folder, removed at the end."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    path = fs.Path(f"{_shared(spark)}/work-{uuid.uuid4().hex}")
+    try:
+        yield path.toString()
+    finally:
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, epsilon: float = 1e-6, max_iterations: int = 100, every: int = 5) -> DataFrame:
     """(id, pagerank) by power iteration over the distinct edges (src, dst) between `vertices` (id).
 

@@ -94,8 +94,14 @@ class Store:
     def tables(self) -> dict[str, DataFrame]:
         return {t: self.read(t) for t in TABLES}
 
-    def commit(self, changed: dict[str, DataFrame], graph_dirty: bool | None = None, vector_dirty: bool | None = None) -> None:
-        """Write the tables given and put them in force together; nothing changes if one fails."""
+    def vector_index(self) -> str | None:
+        """The folder of the vector index in force; None without one."""
+        at = (self.manifest() or {}).get("index")
+        return at and f"{self.folder}/{at}"
+
+    def commit(self, changed: dict[str, DataFrame], graph_dirty: bool | None = None, vector_dirty: bool | None = None, index: str | None = None) -> None:
+        """Write the tables given and put them in force together; nothing changes if one fails.
+        `index` puts a folder in force as the vector index; new chunks drop the one in force."""
         state = self.manifest()
         if state is None:
             raise StoreError("initialize the store first")
@@ -107,6 +113,8 @@ class Store:
             want = empty(self.spark, table).schema
             frame.select(*want.fieldNames()).write.parquet(f"{self.folder}/{made}/{table}")
         state = state | {"number": state["number"] + 1, "tables": state["tables"] | {t: f"{made}/{t}" for t in changed}}
+        if index is not None or "chunks" in changed:
+            state["index"] = index
         for flag, value in (("graph_dirty", graph_dirty), ("vector_dirty", vector_dirty)):
             if value is not None:
                 state[flag] = value

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,6 +36,15 @@ def hashed_features(texts: list[str]) -> np.ndarray:
     return out
 
 
+def embedder_named(name: str) -> Embedder:
+    """The function that `module:function` names; executors must be able to import the module."""
+    module, _, function = name.partition(":")
+    try:
+        return getattr(importlib.import_module(module), function)
+    except (ImportError, AttributeError, ValueError) as e:
+        raise ValueError(f"no embedder {name}: {e}") from e
+
+
 def embed(chunks: DataFrame, embedder: Embedder = hashed_features, batch: int = 256) -> DataFrame:
     """Chunks with embeddings for those that have none (null or all zeros); others are kept."""
     fields = "id string, embedding array<float>"
@@ -70,9 +80,11 @@ def enriched(hits: DataFrame, chunks: DataFrame, documented_by: DataFrame, symbo
     return found.select("id", "score", F.coalesce("file", F.lit("")).alias("file"), F.coalesce("symbol", F.lit("")).alias("symbol"), F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def similar(chunks: DataFrame, documented_by: DataFrame, symbols: DataFrame, text: str, k: int = 5, threshold: float = 0.5, embedder: Embedder = hashed_features) -> DataFrame:
-    """Chunks like a text, enriched.  NotEmbedded where nothing is found as nothing is embedded."""
-    hits = nearest(chunks, embedder([text])[0].tolist(), k, threshold)
+def similar(chunks: DataFrame, documented_by: DataFrame, symbols: DataFrame, text: str, k: int = 5, threshold: float = 0.5, embedder: Embedder = hashed_features, search: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """Chunks like a text, enriched; `search` (vector, k, threshold) is an index's, else all are scanned.
+    NotEmbedded where nothing is found as nothing is embedded."""
+    vector = np.asarray(embedder([text])[0]).tolist()
+    hits = search(vector, k, threshold) if search else nearest(chunks, vector, k, threshold)
     if hits.isEmpty() and chunks.where(~needs_embedding(F.col("embedding"))).isEmpty():
         raise NotEmbedded("no chunk is embedded; run embed first")
     return enriched(hits, chunks, documented_by, symbols).orderBy(F.desc("score"), "id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wovengraph.functions import text as fn
 from wovengraph.functions.imports import expand_use_paths
 from wovengraph.operators import chunks, edges, graph, lookup, mutations, resolve, vectors
+from wovengraph.operators.vector_index import VectorIndex
 from wovengraph.plans.mapping import Mapped, sql
 from wovengraph.streaming import events as watch
 
@@ -524,6 +525,15 @@ def _near(name: str, k: int, threshold: float | None) -> None:
 
 
 _near("knn", 20, None)
+
+
+@query("vector_index", sql("vectors") + _SCORED + " SELECT id, round(score, 6) AS score FROM (SELECT * FROM scored ORDER BY score DESC, id LIMIT 50)")
+def _(m):
+    with graph.work_folder(m.spark) as folder:
+        found = VectorIndex.build(m.vectors, folder).search(_query_vector(m), 50).select("id", F.round("score", 6).alias("score"))
+        return graph.checkpoint(found)  # the index goes when the folder does
+
+
 _near("knn_topk", 10, 0.3)
 _near("score_threshold", 5, 0.33)
 _ENRICH = sql("vectors", "documented_by", "symbols") + _SCORED + """,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wovengraph.operators import chunks, edges, graph, mutations, resolve, vectors
 from wovengraph.operators.store import Store
+from wovengraph.operators.vector_index import VectorIndex
 from wovengraph.sources import scan
 
 
@@ -90,3 +92,18 @@ def embed(store: Store, embedder: vectors.Embedder = vectors.hashed_features, ba
     if missing:
         store.commit({"chunks": vectors.embed(rows, embedder, batch)}, vector_dirty=False)
     return missing
+
+
+def ensure_index(store: Store) -> VectorIndex:
+    """The vector index in force, built if there is none; NotEmbedded without embeddings."""
+    store.begin()
+    at = store.vector_index()
+    if at is None:
+        rows = store.read("chunks")
+        if rows.where(~vectors.needs_embedding(F.col("embedding"))).isEmpty():
+            raise vectors.NotEmbedded("no chunk is embedded; run embed first")
+        made = f"indexes/{uuid.uuid4().hex}"
+        VectorIndex.build(rows, f"{store.folder}/{made}")
+        store.commit({}, index=made)
+        at = f"{store.folder}/{made}"
+    return VectorIndex(store.spark, at)
