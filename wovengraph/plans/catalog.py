@@ -13,6 +13,7 @@ from wovengraph.functions.imports import expand_use_paths
 from wovengraph.operators import chunks, edges, graph, lookup, mutations, resolve, vectors
 from wovengraph.operators.vector_index import VectorIndex
 from wovengraph.plans.mapping import Mapped, sql
+from wovengraph.sources import scan
 from wovengraph.streaming import events as watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,14 +194,48 @@ def _(m):
     return found.select("id", F.to_json("raw_calls").alias("raw_calls"))
 
 
-@query("call_owner", sql("modules", "asked") + " SELECT src AS owner, count(*) AS n FROM asked GROUP BY src")
+# What the parsers must find in the programs of `mapping.PROGRAMS`, written out by hand.
+_DECLARED = """WITH parts AS (SELECT CAST(p_partkey AS VARCHAR) AS k, CAST(p_size AS VARCHAR) AS z, ['py', 'rs', 'ts'][p_partkey % 3 + 1] AS ext FROM part),
+ shapes(ext, id, above, kind, start_line, end_line, signature) AS (VALUES
+  ('py', '::C{k}', '', 'Class', 1, 4, 'class C{k}:'), ('py', '::C{k}::m{z}', '::C{k}', 'Method', 3, 4, 'def m{z}(self, x=h{k}()):'),
+  ('py', '::f{k}', '', 'Function', 6, 9, 'def f{k}():'), ('py', '::f{k}::inner', '::f{k}', 'Function', 8, 9, 'def inner():'),
+  ('rs', '::C{k}', '', 'Struct', 1, 1, 'pub struct C{k} { a: u8 }'), ('rs', '::impl C{k}', '', 'Implementation', 3, 7, 'impl C{k} {'),
+  ('rs', '::impl C{k}::m{z}', '::impl C{k}', 'Function', 4, 6, 'pub fn m{z}(&self) -> u8 {'),
+  ('rs', '::f{k}', '', 'Function', 9, 12, 'fn f{k}() {'), ('rs', '::f{k}::inner', '::f{k}', 'Function', 11, 11, 'fn inner() { deep{k}(); }'),
+  ('ts', '::C{k}', '', 'Class', 1, 5, 'class C{k} {'), ('ts', '::C{k}::m{z}', '::C{k}', 'Method', 2, 4, 'm{z}(x = h{k}()) {'),
+  ('ts', '::f{k}', '', 'Function', 7, 10, 'function f{k}() {'), ('ts', '::f{k}::inner', '::f{k}', 'Function', 9, 9, 'function inner() { deep{k}(); }')),
+ calls(ext, owner, name, line, is_method) AS (VALUES
+  ('py', NULL, 'h{k}', 3, false), ('py', '::C{k}::m{z}', 'g{z}', 4, true), ('py', NULL, 'n{k}', 4, false), ('py', '::f{k}', 'k{z}', 7, false), ('py', '::f{k}::inner', 'deep{k}', 9, false),
+  ('rs', '::impl C{k}::m{z}', 'g{z}', 5, true), ('rs', '::f{k}', 'k{z}', 10, false), ('rs', '::f{k}::inner', 'deep{k}', 11, false),
+  ('ts', NULL, 'h{k}', 2, false), ('ts', '::C{k}::m{z}', 'g{z}', 3, true), ('ts', NULL, 'n{k}', 3, false), ('ts', '::f{k}', 'k{z}', 8, false), ('ts', '::f{k}::inner', 'deep{k}', 9, false))"""
+
+
+def _filled(column: str) -> str:
+    return f"replace(replace({column}, '{{k}}', k), '{{z}}', z)"
+
+
+def _placed(column: str) -> str:
+    return f"'p' || k || '.' || ext || {_filled(column)}"
+
+
+def _parsed(m: Mapped, what: str) -> DataFrame:
+    return scan.parse_files(m.programs).select("path", F.explode(what).alias("x")).select("path", "x.*")
+
+
+@query("signature", _DECLARED + f" SELECT {_placed('id')} AS id, start_line, end_line, {_filled('signature')} AS signature FROM parts JOIN shapes USING (ext)")
+def _(m):
+    return _parsed(m, "symbols").select("id", "start_line", "end_line", "signature")
+
+
+@query("parent_kind_lookup", _DECLARED + f" SELECT {_placed('id')} AS id, {_placed('above')} AS parent, kind FROM parts JOIN shapes USING (ext)")
 def _(m):
-    return resolve.raw_calls(m.modules).groupBy(F.col("src").alias("owner")).agg(F.count("*").alias("n"))
+    above = _parsed(m, "contains").select(F.col("dst").alias("id"), F.col("src").alias("parent"))
+    return _parsed(m, "symbols").select("id", "kind").join(above, "id")
 
 
-@query("signature", sql("symbols") + " SELECT id, signature FROM symbols")
+@query("call_owner", _DECLARED + f" SELECT {_placed('owner')} AS owner, {_filled('name')} AS name, line, is_method FROM parts JOIN calls USING (ext)")
 def _(m):
-    return m.symbols.select("id", F.trim(F.element_at(fn.lines(F.concat(F.lit("  "), "signature", F.lit("  \n next"))), 1)).alias("signature"))
+    return _parsed(m, "calls").select("owner", "name", "line", "is_method")
 
 
 # Resolution
@@ -397,13 +432,6 @@ def _(m):
     return m.files.agg(F.count_if(new).alias("written"), F.sum(F.when(new, F.col("file_size"))).alias("bytes"), F.count_if(~new).alias("unchanged"))
 
 
-@query("parent_kind_lookup", sql("places") + " SELECT p.id, CASE WHEN q.kind = 'Class' THEN 'Method' ELSE 'Function' END AS kind FROM places p JOIN contains c ON c.dst = p.id LEFT JOIN places q ON q.id = c.src")
-def _(m):
-    up = m.places.select(F.col("id").alias("src"), F.col("kind").alias("parent_kind"))
-    rows = m.contains.select("src", F.col("dst").alias("id")).join(up, "src", "left")
-    return rows.select("id", F.when(F.col("parent_kind").isin("Class", "Struct"), "Method").otherwise("Function").alias("kind"))
-
-
 # Ranking
 
 

@@ -8,6 +8,45 @@ from pyspark.sql import functions as F
 EXTENSION = {"en": "rs", "de": "py", "fr": "ts", "es": "weird"}
 
 
+#: Programs for the parsers; {k} and {z} stand for a part's key and size.
+PROGRAMS = {
+    "py": """class C{k}:
+    @property
+    def m{z}(self, x=h{k}()):
+        return self.g{z}(lambda: n{k}())
+
+def f{k}():
+    k{z}()
+    def inner():
+        deep{k}()
+""",
+    "rs": """pub struct C{k} { a: u8 }
+
+impl C{k} {
+    pub fn m{z}(&self) -> u8 {
+        self.g{z}()
+    }
+}
+
+fn f{k}() {
+    k{z}();
+    fn inner() { deep{k}(); }
+}
+""",
+    "ts": """export class C{k} {
+  m{z}(x = h{k}()) {
+    return this.g{z}(() => n{k}());
+  }
+}
+
+function f{k}() {
+  k{z}();
+  function inner() { deep{k}(); }
+}
+""",
+}
+
+
 class Mapped:
     """Lazily derived tables of one folder."""
 
@@ -91,6 +130,15 @@ class Mapped:
             F.col("n_chars").alias("file_size"), F.sha2("text", 256).alias("hash"), "text",
         )
 
+    @property
+    def programs(self) -> DataFrame:
+        """A source file for each part, in one of three languages by its key."""
+        part = self.table("part").withColumn("k", F.col("p_partkey").cast("string")).withColumn("z", F.col("p_size").cast("string"))
+        text = F.create_map(*(F.lit(x) for kv in PROGRAMS.items() for x in kv))
+        ext = F.element_at(F.array(*(F.lit(e) for e in PROGRAMS)), (F.col("p_partkey") % len(PROGRAMS) + 1).cast("int"))
+        content = F.replace(F.replace(text[ext], F.lit("{k}"), F.col("k")), F.lit("{z}"), F.col("z"))
+        return part.select(F.concat(F.lit("p"), "k", F.lit("."), ext).alias("path"), content.cast("binary").alias("content"), F.octet_length(content).cast("bigint").alias("file_size"))
+
     @property
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select(F.format_string("f%d.py::chunk::%d", F.col("vec_id") % 50, "vec_id").alias("id"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("text"), F.lit("Python").alias("language"), F.col("vec_id").alias("start_line"), F.when(F.col("vec_id") % 11 != 3, F.col("embedding")).alias("embedding"))
