@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from wovengraph.functions import text as fn
 from wovengraph.functions.imports import expand_use_paths
 from wovengraph.operators import chunks, edges, graph, lookup, mutations, resolve, vectors
+from wovengraph.operators.store import Store
 from wovengraph.operators.vector_index import VectorIndex
-from wovengraph.plans.mapping import Mapped, sql
+from wovengraph.plans import indexing
+from wovengraph.plans.mapping import PROGRAMS, Mapped, sql
 from wovengraph.sources import scan
 from wovengraph.streaming import events as watch
 
@@ -426,10 +428,18 @@ def _(m):
     return lookup.dead_code_report(lookup.dead_code(m.with_uncalled, m.calls, m.scores, 100))
 
 
-@query("index_stats", sql("files") + " SELECT count(*) FILTER (file_size % 3 = 0) AS written, sum(file_size) FILTER (file_size % 3 = 0) AS bytes, count(*) FILTER (file_size % 3 <> 0) AS unchanged FROM files")
+_SOURCES = ", ".join(f"('{ext}', '{text}')" for ext, text in PROGRAMS.items())
+
+
+@query("index_stats", _DECLARED + f", sources(ext, text) AS (VALUES {_SOURCES}) SELECT count(*) FILTER (ext <> 'py') AS written, CAST(sum(strlen({_filled('text')})) FILTER (ext <> 'py') AS BIGINT) AS bytes, count(*) FILTER (ext = 'py') AS unchanged FROM parts JOIN sources USING (ext)")
 def _(m):
-    new = F.col("file_size") % 3 == 0
-    return m.files.agg(F.count_if(new).alias("written"), F.sum(F.when(new, F.col("file_size"))).alias("bytes"), F.count_if(~new).alias("unchanged"))
+    rows = scan.file_rows(m.programs.withColumnRenamed("file_size", "size"))
+    known = rows.where("path like '%.py'")
+    with graph.work_folder(m.spark) as folder:
+        store = Store(m.spark, folder)
+        store.initialize("parts")
+        report, _ = indexing.apply_files(store, scan.changed_files(rows, known), known.select("path").limit(0))
+    return m.spark.createDataFrame([(report.written, report.bytes, rows.count() - report.written)], "written bigint, bytes bigint, unchanged bigint")
 
 
 # Ranking
