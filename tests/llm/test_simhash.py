@@ -87,6 +87,22 @@ def test_links_in_dense_and_hot_files_are_whole(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.collect()} == slow_components(fps)
 
 
+def test_keys_are_never_broadcast(spark, monkeypatch):
+    rng = random.Random(9)
+    fps = {rng.getrandbits(64) for _ in range(600)}
+    fps |= {x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in rng.sample(sorted(fps), 200)}
+    fps |= {x ^ (1 << a) ^ (1 << b) for x in [min(fps)] for a in range(22) for b in range(a)}
+    fps = dict(enumerate(sorted(fps)))
+    signed = spark.createDataFrame([(d, x - (1 << 64) if x >> 63 else x) for d, x in fps.items()], "doc_id long, fp long")
+    for hot in (256, 8):  # the second: large keys go through blocks
+        monkeypatch.setattr(simhash, "HOT", hot)
+        found = simhash.links(signed.select("fp").distinct())
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+        assert {r.doc_id: r.component_id for r in simhash.grouped(signed).collect()} == slow_components(fps)
+
+
 def test_empty_and_null_ids(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(None, "same words here again", "x", 1), (7, "same words here again", "x", 1), (None, "quite another text over there", "x", 1)]

@@ -174,15 +174,18 @@ def _met(hot: DataFrame, distance: int) -> DataFrame:
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links among the distinct fingerprints in column `fp` that connect exactly
-    those that links at DISTANCE or fewer bits connect."""
-    filed = distinct.select("fp").mapInArrow(_filed, "key long, fp long")
-    asks = distinct.select("fp").mapInArrow(_asks, "key long, fp long")
+    those that links at DISTANCE or fewer bits connect.
+
+    Spark takes what the key functions return to have as many rows as their input, but some 46
+    asks come of a fingerprint, so it would broadcast them: all joins with them are merge joins."""
+    filed = distinct.select("fp").mapInArrow(_filed, "key long, fp long").hint("merge")
+    asks = distinct.select("fp").mapInArrow(_asks, "key long, fp long").hint("merge")
     sizes = filed.groupBy("key").agg(F.count("*").alias("n"))
     cold = filed.join(sizes.where(F.col("n") <= HOT), "key").select(F.col("key").alias("k"), F.col("fp").alias("b"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= DISTANCE
     pairs = asks.join(cold, (F.col("k") == F.col("key")) & (F.col("fp") != F.col("b")) & near).select(F.col("fp").alias("a"), "b")
     hot = asks.join(sizes.where(F.col("n") > HOT).select("key"), "key")
-    return pairs.union(_met(hot, DISTANCE)).distinct()
+    return pairs.union(_met(hot.hint("merge"), DISTANCE)).distinct()
 
 
 def grouped(fps: DataFrame) -> DataFrame:
