@@ -274,3 +274,17 @@ def test_tables_of_text():
     with pytest.raises(ValueError):
         render.parse_format("xml")
     assert io.StringIO(render.rows("json", "T", "k", {"a": None}, [{"a": 1}])).read().startswith("{")
+
+
+def sources(spark, n=40):
+    """Files in one partition, as a small table of many programs comes."""
+    files = [(f"f{k}.rs", bytearray(f"fn a{k}() {{\n    b();\n}}\nimpl A{k} {{}}\nimpl A{k} {{}}\n".encode()), 40) for k in range(n)]
+    return spark.createDataFrame([*files, ("bad.py", bytearray(b"\xff"), 1)], "path string, content binary, file_size long").coalesce(1)
+
+
+def test_parsing_is_dealt_over_all_cores(spark):
+    parsed = scan.parse_files(sources(spark))
+    assert parsed.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert parsed.withColumn("at", F.spark_partition_id()).select("at").distinct().count() > 4
+    assert rows(parsed.where("failed").select("path", F.size("symbols"), F.size("calls"))) == [("bad.py", 0, 0)]
+    assert rows(parsed.select(F.explode("calls").alias("c")).select("c.*").where("owner like 'f3.%'")) == [("f3.rs::a3", "b", 2, False)]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import cache
 
 from wovengraph.sources.parse.model import Analysis, Expired
 
@@ -18,6 +19,7 @@ from wovengraph.sources.parse.model import Analysis, Expired
 BUDGET = 10.0
 
 
+@cache
 def _by_extension() -> dict[str, Callable[[str, str, float], Analysis]]:
     from wovengraph.sources.parse import braces, python, ruby
 

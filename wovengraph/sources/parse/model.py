@@ -28,8 +28,8 @@ class Symbol:
 
 @dataclass
 class Analysis:
-    """Symbols in parse order, CONTAINS pairs, imports (path, line) and calls (owner, name, line,
-    is_method)."""
+    """Symbols in parse order, their CONTAINS pairs in the same order, imports (path, line) and calls
+    (owner, name, line, is_method)."""
 
     path: str
     symbols: list[Symbol] = field(default_factory=list)

@@ -4,23 +4,35 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from wovengraph.functions.text import content_hash, detect_language, parse_eligible, size_class
 from wovengraph.operators import mutations
 from wovengraph.sources.parse import parse_file
+from wovengraph.sources.parse.model import Analysis
 
-PARSED = (
-    "path string, failed boolean,"
-    " symbols array<struct<ordinal:int,id:string,name:string,kind:string,start_line:bigint,start_col:bigint,end_line:bigint,signature:string>>,"
-    " contains array<struct<src:string,dst:string>>,"
-    " imports array<struct<path:string,line:bigint>>,"
-    " calls array<struct<owner:string,name:string,line:bigint,is_method:boolean>>"
-)
+
+def _rows(**fields: pa.DataType) -> pa.DataType:
+    return pa.list_(pa.struct(list(fields.items())))
+
+
+#: The columns of a parsed file beside its path and `failed`: their type, and their rows in an analysis.
+_FOUND: dict[str, tuple[pa.DataType, Callable[[Analysis], list[tuple]]]] = {
+    "symbols": (
+        _rows(ordinal=pa.int32(), id=pa.string(), name=pa.string(), kind=pa.string(), start_line=pa.int64(), start_col=pa.int64(), end_line=pa.int64(), signature=pa.string()),
+        lambda a: [(k, s.id, s.name, s.kind, s.start_line, s.start_col, s.end_line, s.signature) for k, s in enumerate(a.symbols)],
+    ),
+    "contains": (_rows(src=pa.string(), dst=pa.string()), lambda a: a.contains),
+    "imports": (_rows(path=pa.string(), line=pa.int64()), lambda a: a.imports),
+    "calls": (_rows(owner=pa.string(), name=pa.string(), line=pa.int64(), is_method=pa.bool_()), lambda a: a.calls),
+}
 
 
 def _pattern(body: str) -> str:
@@ -176,25 +188,59 @@ def file_rows(found: DataFrame) -> DataFrame:
     return found.select("path", detect_language(F.col("path")).alias("language"), F.col("size").alias("file_size"), content_hash(F.col("content")).alias("hash"), "content")
 
 
-def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out = []
-        for path, content in zip(frame["path"], frame["content"], strict=True):
-            try:
-                a = parse_file(path, bytes(content).decode("utf-8"))
-            except UnicodeDecodeError:
-                out.append((path, True, [], [], [], []))
-                continue
-            symbols = [{"ordinal": k, **vars(s)} for k, s in enumerate(a.symbols)]
-            out.append((path, False, symbols, [{"src": x, "dst": y} for x, y in a.contains], [{"path": p, "line": n} for p, n in a.imports], [{"owner": o, "name": c, "line": n, "is_method": m} for o, c, n, m in a.calls]))
-        yield pd.DataFrame(out, columns=["path", "failed", "symbols", "contains", "imports", "calls"])
+def _listed(kind: pa.DataType, rows: list[list[tuple]]) -> pa.Array:
+    """A column of lists of structs, built field by field."""
+    inner = kind.value_type
+    columns = list(zip(*chain.from_iterable(rows), strict=True)) or [()] * inner.num_fields
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, inner, strict=True)], fields=list(inner))
+    return pa.ListArray.from_arrays(pa.array(accumulate(map(len, rows), initial=0), pa.int32()), values, type=kind)
+
 
+def _parser(columns: tuple[str, ...], schema: pa.Schema, most: int = 4 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from batches of files to their analyses; a batch ends at `most` bytes of text."""
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """An analysis for each parseable file within the size limit; `failed` marks files that
-    aren't UTF-8.  Files go to Python in Arrow batches, a file a row."""
+    def made(found: list[tuple[Analysis, bool]]) -> pa.RecordBatch:
+        lists = [_listed(_FOUND[c][0], [_FOUND[c][1](a) for a, _ in found]) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array([a.path for a, _ in found], pa.string()), pa.array([f for _, f in found], pa.bool_()), *lists], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, held = [], 0
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                path, content = path.as_py(), bytes(content.as_py())
+                try:
+                    found.append((parse_file(path, content.decode("utf-8")), False))
+                except UnicodeDecodeError:
+                    found.append((Analysis(path), True))
+                held += len(content)
+                if held >= most:
+                    yield made(found)
+                    found, held = [], 0
+            if found:
+                yield made(found)
+
+    return run
+
+
+def parse_files(files: DataFrame, *columns: str) -> DataFrame:
+    """An analysis for each parseable file within the size limit, with the columns named (else all of
+    symbols, contains, imports and calls); `failed` marks files that aren't UTF-8.
+
+    Files go to Python in Arrow batches, a file a row.  Parsing costs far more than moving a text, so the files
+    are dealt over all cores by their paths, however few partitions they come in."""
+    columns = columns or tuple(_FOUND)
+    spark = files.sparkSession
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    schema = pa.schema([("path", pa.string()), ("failed", pa.bool_()), *((c, _FOUND[c][0]) for c in columns)])
     wanted = files.where(parse_eligible(F.col("path")) & (size_class(F.col("file_size")) == "parse"))
-    return wanted.select("path", "content").mapInPandas(_parse, PARSED)
+    return wanted.select("path", "content").repartition(slices, "path").mapInArrow(_parser(columns, schema), from_arrow_schema(schema))
+
+
+def declared(parsed: DataFrame) -> DataFrame:
+    """(id, kind, parent, ...) of each symbol of parsed files with `symbols` and `contains`: these hold one pair a
+    symbol in the same order, so nothing is joined."""
+    both = F.explode(F.arrays_zip("symbols", "contains")).alias("x")
+    return parsed.select("path", both).select("path", "x.symbols.*", F.col("x.contains.src").alias("parent"))
 
 
 def changed_files(files: DataFrame, indexed: DataFrame) -> DataFrame:
