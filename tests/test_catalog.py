@@ -85,3 +85,7 @@ def test_sessions_go_on_over_buckets(spark):
 def test_contract(spark):
     assert contract.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_parsing_makes_only_the_lists_asked_for(spark):
+    assert catalog.scan.parse_files(Mapped(spark, FOLDER).programs, "symbols").columns == ["path", "failed", "symbols"]

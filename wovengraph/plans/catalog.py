@@ -221,7 +221,7 @@ def _placed(column: str) -> str:
 
 
 def _parsed(m: Mapped, what: str) -> DataFrame:
-    return scan.parse_files(m.programs).select("path", F.explode(what).alias("x")).select("path", "x.*")
+    return scan.parse_files(m.programs, what).select("path", F.explode(what).alias("x")).select("path", "x.*")
 
 
 @query("signature", _DECLARED + f" SELECT {_placed('id')} AS id, start_line, end_line, {_filled('signature')} AS signature FROM parts JOIN shapes USING (ext)")
