@@ -87,5 +87,10 @@ def test_contract(spark):
     assert set(catalog.QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
+def test_symbols_and_their_parents_come_from_one_parse(spark):
+    plan = catalog.QUERIES["parent_kind_lookup"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
 def test_parsing_makes_only_the_lists_asked_for(spark):
     assert catalog.scan.parse_files(Mapped(spark, FOLDER).programs, "symbols").columns == ["path", "failed", "symbols"]

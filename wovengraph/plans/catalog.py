@@ -231,8 +231,7 @@ def _(m):
 
 @query("parent_kind_lookup", _DECLARED + f" SELECT {_placed('id')} AS id, {_placed('above')} AS parent, kind FROM parts JOIN shapes USING (ext)")
 def _(m):
-    above = _parsed(m, "contains").select(F.col("dst").alias("id"), F.col("src").alias("parent"))
-    return _parsed(m, "symbols").select("id", "kind").join(above, "id")
+    return scan.declared(scan.parse_files(m.programs, "symbols", "contains")).select("id", "kind", "parent")
 
 
 @query("call_owner", _DECLARED + f" SELECT {_placed('owner')} AS owner, {_filled('name')} AS name, line, is_method FROM parts JOIN calls USING (ext)")
