@@ -100,3 +100,21 @@ def test_closure(spark):
     symbols = spark.createDataFrame([(i, i[-1], "Class", 1) for i in ("f::A", "f::A::m", "f::A::m::i", "g::B")], "id string, name string, kind string, start_line bigint")
     assert sorted(r.id for r in graph.contained_symbols(contains, symbols, "f").collect()) == ["f::A", "f::A::m", "f::A::m::i"]
     assert graph.contained_symbols(contains, symbols, "none").count() == 0
+
+
+def watched(monkeypatch):
+    """The tables that the operators checkpoint, as they are made."""
+    made, old = [], graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df: made.append(df) or old(df))
+    return made
+
+
+def test_pagerank_rounds_hold_numbers_and_blocks_of_targets(spark, monkeypatch):
+    made = watched(monkeypatch)
+    monkeypatch.setattr(graph, "_BLOCK", 3)
+    n, edges = 12, [(0, b) for b in range(12)] + [(b, (b * 5 + 1) % 12) for b in range(1, 9)]
+    got = graph.pagerank(spark.createDataFrame([(f"s{i}",) for i in range(n)], "id string"), spark.createDataFrame([(f"s{a}", f"s{b}") for a, b in edges], "src string, dst string"))
+    assert {int(r.id[1:]): r.pagerank for r in got.collect()} == pytest.approx(dict(enumerate(slow_rank(n, edges))), abs=1e-9)
+    assert all(kind != "string" for frame in made[1:] for _, kind in frame.dtypes)
+    blocks = next(frame for frame in made if "to" in frame.columns).collect()
+    assert len([r for r in blocks if r.degree == 12]) > 1 and sum(len(r.to) for r in blocks) == len({(a, b) for a, b in edges if a != b})

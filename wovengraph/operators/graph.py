@@ -49,35 +49,43 @@ def work_folder(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Targets of one source in a row, about.
+_BLOCK = 4096
+
+
 def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, epsilon: float = 1e-6, max_iterations: int = 100) -> DataFrame:
     """(id, pagerank) by power iteration over the distinct edges (src, dst) between `vertices` (id).
 
     Scores begin at 1/n; a vertex without out-edges shares its score among all; a self loop
     counts in the out-degree but its share is lost.  Rounds end when the scores change by less
     than `epsilon` in sum; n = 0 gives an empty table.  Each round's scores are checkpointed: a round reads
-    them three times, so a plan of several rounds would triple with each.  Adaptive execution may
-    split a source with very many links."""
-    ids = checkpoint(vertices.select("id").distinct())
-    n = ids.count()
+    them three times, so a plan of several rounds would triple with each.
+
+    Within the loop vertices are numbers, and a row holds up to some `_BLOCK` targets of a source: a round
+    moves a number and a share a link, instead of two ids a link there and back."""
+    numbered = checkpoint(vertices.select("id").distinct().withColumn("v", F.monotonically_increasing_id()))
+    n = numbered.count()
     if not n:
-        return ids.select("id", F.lit(0.0).alias("pagerank"))
-    pairs = edges.select("src", "dst").distinct()
-    known = pairs.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
-    degree = known.groupBy("src").agg(F.count("*").alias("degree"))
-    links = checkpoint(known.where("src <> dst").join(degree, "src").select("src", "dst", "degree"))
-    scores = checkpoint(ids.join(degree.withColumnRenamed("src", "id"), "id", "left").select("id", "degree", F.lit(1.0 / n).alias("score")))
+        return numbered.select("id", F.lit(0.0).alias("pagerank"))
+    ends = edges.select("src", "dst").join(numbered.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(numbered.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst")
+    known = checkpoint(ends.select("a", "b").distinct())
+    degree = checkpoint(known.groupBy("a").agg(F.count("*").alias("degree")))
+    block = F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / _BLOCK)).alias("block")
+    links = checkpoint(known.where("a <> b").join(degree, "a").groupBy("a", "degree", block).agg(F.collect_list("b").alias("to")).drop("block"))
+    scores = checkpoint(numbered.select("v").join(degree.withColumnRenamed("a", "v"), "v", "left").select("v", "degree", F.lit(1.0 / n).alias("score")))
     rest = (1 - damping) / n
     for _ in range(max_iterations):
         lost = F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("score"))), F.lit(0.0))
         dangling = scores.agg(lost.alias("dangling"))
-        shares = links.join(scores.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("degree")).alias("sent"))
+        sends = links.join(scores.select(F.col("v").alias("a"), "score"), "a").select(F.explode("to").alias("v"), (F.col("score") / F.col("degree")).alias("share"))
+        shares = sends.groupBy("v").agg(F.sum("share").alias("sent"))
         moved = F.lit(rest) + damping * (F.coalesce("sent", F.lit(0.0)) + F.col("dangling") / n)
-        after = scores.join(shares, "id", "left").crossJoin(F.broadcast(dangling)).select("id", "degree", moved.alias("score"), F.abs(moved - F.col("score")).alias("change"))
+        after = scores.join(shares, "v", "left").crossJoin(F.broadcast(dangling)).select("v", "degree", moved.alias("score"), F.abs(moved - F.col("score")).alias("change"))
         after = checkpoint(after)
         scores = after.drop("change")
         if epsilon > 0 and after.agg(F.sum("change")).collect()[0][0] < epsilon:
             break
-    return scores.select("id", F.col("score").alias("pagerank"))
+    return numbered.join(scores, "v").select("id", F.col("score").alias("pagerank"))
 
 
 def dangling_mass(scores: DataFrame, calls: DataFrame) -> DataFrame:
