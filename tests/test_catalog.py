@@ -94,3 +94,8 @@ def test_symbols_and_their_parents_come_from_one_parse(spark):
 
 def test_parsing_makes_only_the_lists_asked_for(spark):
     assert catalog.scan.parse_files(Mapped(spark, FOLDER).programs, "symbols").columns == ["path", "failed", "symbols"]
+
+
+def test_lines_move_once_a_side_to_meet_the_next(spark):
+    plan = Mapped(spark, FOLDER).calls._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3  # the two sides, and the pairs to be made distinct

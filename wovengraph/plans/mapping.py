@@ -70,11 +70,19 @@ class Mapped:
         part_id = F.concat("p_brand", F.lit(".rs::"), F.col("p_partkey").cast("string"))
         return self.table("part").select(part_id.alias("id"), F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice") / 1000).alias("pagerank"))
 
+    @property
+    def followed(self) -> DataFrame:
+        """(l_orderkey, l_linenumber, l_partkey, callee): each line with the parts of its order's next line.  Both
+        sides are dealt by the join's keys before they are made distinct, so each moves once."""
+        at = ["l_orderkey", "l_linenumber"]
+        lines = self.table("lineitem")
+        few = lines.select(*at, "l_partkey").repartition(*at).distinct()
+        after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("callee")).repartition(*at).distinct()
+        return few.join(after, at)
+
     @property
     def calls(self) -> DataFrame:
-        few = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
-        after = few.select("l_orderkey", F.col("l_partkey").alias("callee"), (F.col("l_linenumber") - 1).alias("l_linenumber"))
-        pairs = few.join(after, ["l_orderkey", "l_linenumber"]).select("l_partkey", "callee", "l_linenumber").distinct()
+        pairs = self.followed.select("l_partkey", "callee", "l_linenumber").distinct()
         ids = self.table("part").select("p_partkey", F.concat("p_brand", F.lit(".rs::"), F.col("p_partkey").cast("string")).alias("id"))
         a, b = ids.select(F.col("p_partkey").alias("l_partkey"), F.col("id").alias("src")), ids.select(F.col("p_partkey").alias("callee"), F.col("id").alias("dst"))
         return pairs.join(a, "l_partkey").join(b, "callee").select("src", "dst", F.col("l_linenumber").cast("bigint").alias("call_site_line"))
@@ -82,9 +90,7 @@ class Mapped:
     @property
     def last_calls(self) -> DataFrame:
         """Of each part only its last call, so that chains of callers get long."""
-        few = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
-        after = few.select("l_orderkey", F.col("l_partkey").alias("callee"), (F.col("l_linenumber") - 1).alias("l_linenumber"))
-        last = few.join(after, ["l_orderkey", "l_linenumber"]).groupBy("l_partkey").agg(F.max(F.struct("l_orderkey", "l_linenumber", "callee")).alias("at"))
+        last = self.followed.groupBy("l_partkey").agg(F.max(F.struct("l_orderkey", "l_linenumber", "callee")).alias("at"))
         ids = self.table("part").select("p_partkey", F.concat("p_brand", F.lit(".rs::"), F.col("p_partkey").cast("string")).alias("id"))
         a, b = ids.select(F.col("p_partkey").alias("l_partkey"), F.col("id").alias("src")), ids.select(F.col("p_partkey").alias("callee"), F.col("id").alias("dst"))
         return last.select("l_partkey", "at.callee").join(a, "l_partkey").join(b, "callee").select("src", "dst")
@@ -160,9 +166,7 @@ class Mapped:
         flat = F.concat("p_brand", F.lit(".rs::"), "p_name")
         part = self.table("part").withColumn("id", F.when(F.col("p_size") % 2 == 0, deep).otherwise(flat))
         names = part.select("p_partkey", "id")
-        few = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
-        after = few.select("l_orderkey", F.col("l_partkey").alias("callee"), (F.col("l_linenumber") - 1).alias("l_linenumber"))
-        called = few.join(after, ["l_orderkey", "l_linenumber"]).join(names, F.col("l_partkey") == F.col("p_partkey")).select("id", "callee", "l_linenumber")
+        called = self.followed.join(names, F.col("l_partkey") == F.col("p_partkey")).select("id", "callee", "l_linenumber")
         called = called.join(part.select(F.col("p_partkey").alias("callee"), "p_name"), "callee")
         lists = called.groupBy("id").agg(F.to_json(F.sort_array(F.collect_set(F.struct(F.col("p_name").alias("name"), F.col("l_linenumber").cast("bigint").alias("line"), (F.col("l_linenumber") % 2 == 0).alias("is_method"))))).alias("raw_calls"))
         rows = part.groupBy("id").agg(F.min("p_name").alias("name"), F.min(kind).alias("kind"))
