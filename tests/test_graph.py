@@ -118,3 +118,13 @@ def test_pagerank_rounds_hold_numbers_and_blocks_of_targets(spark, monkeypatch):
     assert all(kind != "string" for frame in made[1:] for _, kind in frame.dtypes)
     blocks = next(frame for frame in made if "to" in frame.columns).collect()
     assert len([r for r in blocks if r.degree == 12]) > 1 and sum(len(r.to) for r in blocks) == len({(a, b) for a, b in edges if a != b})
+
+
+def test_impact_leaves_the_edges_where_they_are(spark, monkeypatch):
+    made = watched(monkeypatch)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        graph.impact(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"), spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), "c").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in made[2]._jdf.queryExecution().executedPlan().toString()

@@ -52,6 +52,9 @@ def work_folder(spark: SparkSession) -> Iterator[str]:
 #: Targets of one source in a row, about.
 _BLOCK = 4096
 
+#: Rows of a frontier that every task can hold.
+_FEW = 50_000
+
 
 def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, epsilon: float = 1e-6, max_iterations: int = 100) -> DataFrame:
     """(id, pagerank) by power iteration over the distinct edges (src, dst) between `vertices` (id).
@@ -108,17 +111,20 @@ def impact(calls: DataFrame, symbols: DataFrame, target: str, max_depth: int | N
     """(id, depth): every symbol that reaches `target` over calls, with its least distance.
 
     The target is left out.  Callers without a symbol row are skipped and not followed.  Each
-    round joins the frontier with the edges and takes away what has been seen."""
+    round joins the frontier with the edges and takes away what has been seen; a small frontier goes
+    to the edges, which then stay where they are."""
     edges = checkpoint(calls.select("src", "dst").distinct().join(symbols.select(F.col("id").alias("src")).distinct(), "src", "left_semi"))
     spark = calls.sparkSession
     start = spark.range(1).select(F.lit(target).alias("id"), F.lit(0).alias("depth"))
     seen = frontier = start
-    depth = 0
+    depth, size = 0, 1
     while max_depth is None or depth < max_depth:
         depth += 1
-        reached = edges.join(frontier.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct()
+        asked = frontier.select(F.col("id").alias("dst"))
+        reached = edges.join(F.broadcast(asked) if size <= _FEW else asked, "dst").select(F.col("src").alias("id")).distinct()
         frontier = checkpoint(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        size = frontier.count()
+        if not size:
             break
         seen = checkpoint(seen.unionByName(frontier)) if depth % 8 == 0 else seen.unionByName(frontier)
     return seen.where("depth > 0")
