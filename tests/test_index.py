@@ -288,3 +288,11 @@ def test_parsing_is_dealt_over_all_cores(spark):
     assert parsed.withColumn("at", F.spark_partition_id()).select("at").distinct().count() > 4
     assert rows(parsed.where("failed").select("path", F.size("symbols"), F.size("calls"))) == [("bad.py", 0, 0)]
     assert rows(parsed.select(F.explode("calls").alias("c")).select("c.*").where("owner like 'f3.%'")) == [("f3.rs::a3", "b", 2, False)]
+
+
+def test_changed_files_are_parsed_on_all_cores(spark):
+    found = scan.file_rows(sources(spark).withColumnRenamed("file_size", "size"))
+    fresh = scan.changed_files(found, found.where("path like 'f1%'"))
+    parsed = scan.parse_files(fresh, "symbols")
+    assert parsed.withColumn("at", F.spark_partition_id()).select("at").distinct().count() > 4
+    assert parsed.count() == 30
